@@ -84,8 +84,7 @@ def _build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-@F.pandas_udf("binary")
-def _merge(containers: pd.Series) -> pd.Series:
+def _merge_column(containers: pd.Series) -> pd.Series:
     return containers.map(lambda c: merge_containers(list(c)))
 
 
@@ -115,7 +114,8 @@ def shard_runs(df: DataFrame, entity: str, start_u: str, end_u: str) -> DataFram
     """Per (entity, shard) the set and clear runs of the united bitmap: (entity, shard, kind, start_u, end_u, edge, opens)."""
     usable = df.select(F.col(entity).cast("string").alias("entity"), F.col(start_u).cast("bigint").alias("a"), F.col(end_u).cast("bigint").alias("b")).where("entity is not null and a < b")
     built = usable.mapInArrow(_build, "entity string, shard bigint, runs binary")
-    salted = built.withColumn("salt", F.spark_partition_id() % SALTS).groupBy("entity", "shard", "salt").agg(_merge(F.collect_list("runs")).alias("runs"))
+    merge = F.pandas_udf(_merge_column, "binary")
+    salted = built.withColumn("salt", F.spark_partition_id() % SALTS).groupBy("entity", "shard", "salt").agg(merge(F.collect_list("runs")).alias("runs"))
     united = salted.groupBy("entity", "shard").agg(F.collect_list("runs").alias("runs"))
     return united.mapInArrow(_extract, "entity string, shard bigint, kind string, start_u bigint, end_u bigint, edge boolean, opens boolean")
 
