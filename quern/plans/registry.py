@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.plans import interval_queries
+from quern.plans import catalog_queries, interval_queries, source_queries
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = (interval_queries,)
+MODULES = (interval_queries, catalog_queries, source_queries)
 FLAGSHIP: Query = interval_queries.p2_found
 
 
