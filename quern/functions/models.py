@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from zlib import crc32
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,10 +18,17 @@ Model = Callable[..., Column]
 
 def hashed_embedding(text: Column, dim: int = HASHED_DIM) -> Column:
     """Bag of words hashed into ``dim`` signed buckets, unit length; all zero for a text without words."""
-    slots = F.transform(content_words(text), lambda w: F.struct(F.pmod(F.xxhash64(w), F.lit(dim)).cast("int").alias("i"), F.when(F.pmod(F.hash(w), F.lit(2)) == 0, 1.0).otherwise(-1.0).alias("s")))
-    raw = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.aggregate(F.filter(slots, lambda x: x["i"] == i), F.lit(0.0), lambda acc, x: acc + x["s"]))
-    norm = F.sqrt(F.aggregate(raw, F.lit(0.0), lambda acc, x: acc + x * x))
-    return F.transform(raw, lambda x: F.when(norm > 0, x / norm).otherwise(0.0))
+
+    def embed(batch: pd.Series) -> pd.Series:
+        out = np.zeros((len(batch), dim))
+        for i, words in enumerate(batch):
+            for w in words if words is not None else ():
+                h = crc32(w.encode())
+                out[i, h % dim] += 1 - 2 * (h >> 31)
+        out /= np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
+        return pd.Series(list(out))
+
+    return F.pandas_udf(embed, "array<double>")(content_words(text))
 
 
 def overlap_score(query: Column, text: Column) -> Column:

@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.plans import catalog_queries, interval_queries, source_queries
+from quern.plans import catalog_queries, interval_queries, lexical_queries, source_queries, stream_queries, vector_queries
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = (interval_queries, catalog_queries, source_queries)
-FLAGSHIP: Query = interval_queries.p2_found
+MODULES = (interval_queries, catalog_queries, source_queries, lexical_queries, vector_queries, stream_queries)
+FLAGSHIP: Query = vector_queries.plan_smart
 
 
 def queries() -> dict[str, Query]:
