@@ -177,14 +177,16 @@ def _registers(column: pa.Array) -> np.ndarray:
 
 
 def _bands(classes: DataFrame) -> DataFrame:
+    """Band keys of every class; classes of different kinds never share one."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 2000):
                 piece = batch.slice(lo, 2000)
-                keys = band_keys(_registers(piece.column(1)), 0)
+                keys = band_keys(_registers(piece.column(1)), 0, piece.column(2).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64))
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(piece.column(0).to_numpy(zero_copy_only=False), BANDS)), pa.array(keys.ravel())], names=["rid", "band"])
 
-    return classes.select("rid", "registers").mapInArrow(run, "rid bigint, band bigint")
+    return classes.select("rid", "registers", "domain").mapInArrow(run, "rid bigint, band bigint")
 
 
 def _bands_again(hot: DataFrame) -> DataFrame:
@@ -254,7 +256,7 @@ def similar_classes(records: DataFrame, n: int = 5, threshold: float = 0.8, min_
     members = cut_lineage(latest)
     # one row per class, chosen without moving the sketches of its copies: the smallest key's latest row
     chosen = members.groupBy("rid").agg(F.min("key").alias("key")).select("rid", "key")
-    classes = drawn.select("rid", "key", "size", "registers").join(chosen, ["rid", "key"], "left_semi").dropDuplicates(["rid", "key"]).drop("key")
+    classes = drawn.select("rid", "key", F.xxhash64("kind").alias("domain"), "size", "registers").join(chosen, ["rid", "key"], "left_semi").dropDuplicates(["rid", "key"]).drop("key")
     counted = _bands(classes).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("band"))).where("n > 1")
     counted = cut_lineage(counted)
     hot = counted.where(F.col("n") > HOT_BAND).select("rid", "band")
