@@ -1,7 +1,7 @@
 """Near-duplicate records with small edits, by HyperMinHash.
 
 A record is the set of its runs of ``n`` successive words. Its sketch has 128 buckets; each keeps the number of
-leading zeros of its smallest hash and ten mantissa bits behind them, two bytes in all. Bands of four registers (empty
+leading zeros of its smallest hash and ten mantissa bits behind them, two bytes in all. Bands of three registers (empty
 ones borrow from another bucket, in an order all records share) make candidates; the collision-corrected Jaccard estimate of
 two sketches sorts out most of them; the rest is verified on the sets themselves.
 
@@ -26,7 +26,7 @@ from quern.runtime import cut_lineage
 
 BUCKET_BITS, MANTISSA_BITS = 7, 10
 BUCKETS = 1 << BUCKET_BITS
-BANDS, ROWS = 40, 4
+BANDS, ROWS = 32, 3
 HOT_BAND = 64
 #: Classes of copies up to this size are written as all their pairs, larger ones as links to their smallest key.
 PAIRED_COPIES = 64
