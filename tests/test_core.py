@@ -218,3 +218,23 @@ def test_empty_tables(spark):
     assert lexical.bridge_edges(chunks).count() == 0
     assert graph.sequential_edges(chunks).count() == 0
     assert chunking.split_texts(chunks, "chunk", "text").count() == 0
+
+
+def test_engine(spark, tmp_path):
+    from datetime import datetime
+
+    from quern.api import Engine
+
+    day = datetime(2025, 1, 1)
+    texts = ["Alpha Beta pump gasket measurement", "Alpha Beta pump gasket placement", "nothing of note here", "pump gasket again"]
+    chunks = [("o", "p", "d", f"d_chunk_{i}", i, t, 0, day) for i, t in enumerate(texts)] + [("x", "q", "e", "e_chunk_0", 0, "pump gasket elsewhere", 0, day)]
+    spark.createDataFrame(chunks, "org_id string, project_id string, document_id string, chunk_id string, chunk_number int, text string, file_chunk_number int, updated_at timestamp").write.parquet(f"{tmp_path}/chunks.parquet")
+    spark.createDataFrame([(c[3], [float(i == j) + 0.1 for j in range(4)]) for i, c in enumerate(chunks[:4])], "chunk_id string, embedding array<float>").write.parquet(f"{tmp_path}/chunk_embeddings.parquet")
+    engine = Engine(spark, str(tmp_path), 4)
+    assert [r.key for r in engine.search("pump gasket", k=5, org="x").collect()] == ["e_chunk_0"]
+    for kind in ("quick", "smart", "expert"):
+        rows = engine.query("pump gasket measurement", [1.1, 0.1, 0.1, 0.1], kind, 3, org="o").collect()
+        assert rows and all(r.key.startswith("d_") for r in rows)
+    assert {r.chunk for r in engine.chunk_ids("entity", "Alpha Beta").collect()} == {"d_chunk_0", "d_chunk_1"}
+    with pytest.raises(ValueError):
+        engine.query("  ")
