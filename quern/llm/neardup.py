@@ -223,8 +223,8 @@ def _judge(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
     return both.mapInArrow(run, "a bigint, b bigint")
 
 
-def _verify(pairs: DataFrame, drawn: DataFrame, chosen: DataFrame, threshold: float) -> DataFrame:
-    """(a, b, jaccard) of the pairs whose sets reach the threshold. The sets move once, by class and key."""
+def _verify(pairs: DataFrame, drawn: DataFrame, threshold: float) -> DataFrame:
+    """(a, b, jaccard) of the pairs whose sets reach the threshold. One set per class moves, once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -237,11 +237,9 @@ def _verify(pairs: DataFrame, drawn: DataFrame, chosen: DataFrame, threshold: fl
             keep = pa.array([x >= threshold for x in sims], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep), s.filter(keep)], names=["a", "b", "jaccard"])
 
-    sets = drawn.select("rid", "key", "shingles").dropDuplicates(["rid", "key"])
-    wanted = pairs.join(chosen.toDF("a", "key"), "a").select("a", "b", F.col("a").alias("rid"), "key")
-    half = wanted.join(sets, ["rid", "key"]).select("a", "b", F.col("shingles").alias("set_a"))
-    other = half.join(chosen.toDF("b", "key"), "b").select("a", "b", "set_a", F.col("b").alias("rid"), "key")
-    return other.join(sets, ["rid", "key"]).select("a", "b", "set_a", F.col("shingles").alias("set_b")).mapInArrow(run, "a bigint, b bigint, jaccard double")
+    sets = drawn.groupBy("rid").agg(F.first("shingles").alias("shingles"))
+    side = lambda s: sets.select(F.col("rid").alias(s), F.col("shingles").alias(f"set_{s}"))
+    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "set_a", "set_b").mapInArrow(run, "a bigint, b bigint, jaccard double")
 
 
 def similar_classes(records: DataFrame, n: int = 5, threshold: float = 0.8, min_words: int = 0) -> tuple[DataFrame, DataFrame]:
@@ -254,16 +252,18 @@ def similar_classes(records: DataFrame, n: int = 5, threshold: float = 0.8, min_
     drawn = cut_lineage(sketch_records(records, n, min_words))
     latest = drawn.groupBy("kind", "key").agg(F.max(F.struct("version", "rid")).alias("last")).select("kind", "key", F.col("last.rid").alias("rid"))
     members = cut_lineage(latest)
-    # one row per class, chosen without moving the sketches of its copies: the smallest key's latest row
-    chosen = members.groupBy("rid").agg(F.min("key").alias("key")).select("rid", "key")
-    classes = drawn.select("rid", "key", F.xxhash64("kind").alias("domain"), "size", "registers").join(chosen, ["rid", "key"], "left_semi").dropDuplicates(["rid", "key"]).drop("key")
+    # one row per class; copies are folded before the shuffle, which all joins by class then share
+    classes = drawn.groupBy("rid").agg(F.first(F.xxhash64("kind")).alias("domain"), F.first("size").alias("size"), F.first("registers").alias("registers"))
     counted = _bands(classes).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("band"))).where("n > 1")
     counted = cut_lineage(counted)
     hot = counted.where(F.col("n") > HOT_BAND).select("rid", "band")
     again = _bands_again(hot.join(classes.select("rid", "registers"), "rid"))
     candidates = _pairs(counted.where(F.col("n") <= HOT_BAND).select("rid", "band")).unionByName(_pairs(again)).distinct()
     near = cut_lineage(_judge(candidates, classes, threshold))
-    return members, cut_lineage(_verify(near, drawn, chosen, threshold))
+    links = _verify(near, drawn, threshold)
+    for end in ("a", "b"):  # classes of outdated rows only are no one's
+        links = links.join(members.select(F.col("rid").alias(end)).distinct(), end, "left_semi")
+    return members, cut_lineage(links.select("a", "b", "jaccard"))
 
 
 def similar_pairs(records: DataFrame, n: int = 5, threshold: float = 0.8, min_words: int = 0) -> DataFrame:
