@@ -30,8 +30,8 @@ FOREIGN = r"[\p{L}\p{N}_]*[^\x00-\x7F\p{P}\p{S}\p{Z}\p{C}\p{M}][\p{L}\p{N}_]*"
 TECHNICAL_START = rf"^[a-z]{{4,}}(?:{TECHNICAL})([^\p{{L}}\p{{N}}_]|$)"
 
 
-def stop_array() -> Column:
-    return F.array(*[F.lit(w) for w in STOP_WORDS])
+#: The same for Java's matcher, which looks back so as to start at words only and thus stays linear in long runs.
+FOREIGN_JAVA = r"(?<![\p{L}\p{N}_])[A-Za-z0-9_]*+[^\x00-\x7F\p{P}\p{S}\p{Z}\p{C}\p{M}][\p{L}\p{N}_]*+"
 
 
 def not_stop(word: Column) -> Column:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quern.functions.lexicon import FOREIGN, TECHNICAL, content_words, not_stop
+from quern.functions.lexicon import FOREIGN_JAVA, TECHNICAL, content_words, not_stop
 
 SCOPE = ["doc", "buf"]
 # Thresholds and weights of the engine.
@@ -41,15 +41,15 @@ def _shared(labels: DataFrame, most: int | None = None) -> DataFrame:
 
 def entities(chunks: DataFrame) -> DataFrame:
     """(scope, label, chunk): runs of capitalised words, lower-cased."""
-    plain = F.regexp_replace("text", FOREIGN, "#")
-    found = chunks.select(*SCOPE, "chunk", F.explode(F.regexp_extract_all(plain, F.lit(ENTITY_RUN), F.lit(0))).alias("label"))
+    plain = F.regexp_replace("text", FOREIGN_JAVA, "#")
+    found = chunks.select(*SCOPE, "chunk", "text").repartition(*SCOPE).select(*SCOPE, "chunk", F.explode(F.regexp_extract_all(plain, F.lit(ENTITY_RUN), F.lit(0))).alias("label"))
     return found.withColumn("label", F.lower("label")).where(not_stop(F.col("label")) & (F.length("label") >= 4)).select(*SCOPE, "label", "chunk").distinct()
 
 
 def concepts(chunks: DataFrame) -> DataFrame:
     """(scope, label, chunk): pairs of successive technical nouns."""
     nouns = F.filter(content_words(F.col("text")), lambda w: w.rlike(f"^[a-z]{{4,}}(?:{TECHNICAL})$"))
-    held = chunks.select(*SCOPE, "chunk", nouns.alias("w")).where(F.size("w") > 1)
+    held = chunks.select(*SCOPE, "chunk", "text").repartition(*SCOPE).select(*SCOPE, "chunk", nouns.alias("w")).where(F.size("w") > 1)
     pairs = F.zip_with(F.slice("w", 1, F.size("w") - 1), F.slice("w", 2, F.size("w") - 1), lambda a, b: F.concat_ws(" ", a, b))
     return held.select(*SCOPE, F.explode(F.array_distinct(pairs)).alias("label"), "chunk")
 
@@ -57,28 +57,28 @@ def concepts(chunks: DataFrame) -> DataFrame:
 def phrases(chunks: DataFrame) -> DataFrame:
     """(scope, label, chunk): runs of four content words that two or three chunks share."""
     words = content_words(F.col("text"), r"^[a-z][\p{L}\p{N}_]+$")
-    held = chunks.select(*SCOPE, "chunk", words.alias("w")).where(F.size("w") >= PHRASE_WORDS)
+    held = chunks.select(*SCOPE, "chunk", "text").repartition(*SCOPE).select(*SCOPE, "chunk", words.alias("w")).where(F.size("w") >= PHRASE_WORDS)
     grams = F.transform(F.sequence(F.lit(1), F.size("w") - PHRASE_WORDS + 1), lambda i: F.array_join(F.slice("w", i, PHRASE_WORDS), " "))
     return _shared(held.select(*SCOPE, F.explode(F.array_distinct(grams)).alias("label"), "chunk"), PHRASE_CHUNKS)
 
 
-def _term_counts(chunks: DataFrame) -> DataFrame:
-    return chunks.select(*SCOPE, "chunk", F.explode(content_words(F.col("text"))).alias("label")).groupBy(*SCOPE, "chunk", "label").agg(F.count(F.lit(1)).alias("tf"))
+def _terms(chunks: DataFrame) -> DataFrame:
+    """(scope, chunk, label, tf, n, df, total, kept): term counts per chunk with the scope's chunks, the term's chunks and count there, and
+    whether it is in the scope's vocabulary: neither too rare nor too common, and among the 500 most frequent (ties in order).
 
-
-def _vocabulary(counts: DataFrame, chunks: DataFrame) -> DataFrame:
-    """(scope, label, df, n): the terms of each scope that are neither too rare nor too common, at most 500 by count."""
-    n = chunks.groupBy(*SCOPE).agg(F.count(F.lit(1)).alias("n"))
-    terms = counts.groupBy(*SCOPE, "label").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total")).join(n, SCOPE)
-    fit = terms.where((F.col("n") * MAX_SHARE_DF >= LEAST_CHUNKS) & (F.col("df") >= LEAST_CHUNKS) & (F.col("df") <= F.col("n") * MAX_SHARE_DF))
-    rank = F.row_number().over(Window.partitionBy(*SCOPE).orderBy(F.desc("total"), "label"))
-    return fit.withColumn("rank", rank).where(F.col("rank") <= MAX_TERMS).select(*SCOPE, "label", "df", "n")
+    Chunks are hashed by scope once; every count, rank and norm below is over keys that contain the scope, so nothing moves again."""
+    held = chunks.select(*SCOPE, "chunk", "text").repartition(*SCOPE).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy(*SCOPE)))
+    counts = held.select(*SCOPE, "chunk", "n", F.explode(content_words(F.col("text"))).alias("label")).groupBy(*SCOPE, "chunk", "label").agg(F.count(F.lit(1)).alias("tf"), F.first("n").alias("n"))
+    own = Window.partitionBy(*SCOPE, "label")
+    seen = counts.withColumns({"df": F.count(F.lit(1)).over(own), "total": F.sum("tf").over(own)})
+    fit = (F.col("n") * MAX_SHARE_DF >= LEAST_CHUNKS) & (F.col("df") >= LEAST_CHUNKS) & (F.col("df") <= F.col("n") * MAX_SHARE_DF)
+    rank = F.dense_rank().over(Window.partitionBy(*SCOPE).orderBy(F.desc("fit"), F.desc("total"), "label"))
+    return seen.withColumn("fit", fit).withColumn("kept", F.col("fit") & (rank <= MAX_TERMS)).drop("fit")
 
 
 def keywords(chunks: DataFrame) -> DataFrame:
     """(scope, label, chunk, weight): terms by sublinear tf and smooth idf, normalised per chunk over the vocabulary."""
-    counts = _term_counts(chunks)
-    weighed = counts.join(_vocabulary(counts, chunks), [*SCOPE, "label"]).withColumn("x", (1 + F.log("tf")) * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1))
+    weighed = _terms(chunks).where("kept").withColumn("x", (1 + F.log("tf")) * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1))
     norm = F.sqrt(F.sum(F.col("x") * F.col("x")).over(Window.partitionBy(*SCOPE, "chunk")))
     scored = weighed.withColumn("weight", F.col("x") / norm).where(F.col("weight") >= LEAST_SCORE).select(*SCOPE, "label", "chunk", "weight")
     return _shared(scored)
@@ -86,15 +86,14 @@ def keywords(chunks: DataFrame) -> DataFrame:
 
 def noise_words(chunks: DataFrame) -> DataFrame:
     """(scope, rank, word): the first words in order that the vocabulary leaves out."""
-    counts = _term_counts(chunks)
-    out = counts.select(*SCOPE, "label").distinct().join(_vocabulary(counts, chunks), [*SCOPE, "label"], "left_anti")
+    out = _terms(chunks).where("not kept").select(*SCOPE, "label").distinct()
     rank = F.row_number().over(Window.partitionBy(*SCOPE).orderBy("label"))
     return out.withColumn("rank", rank).where(F.col("rank") <= NOISE_ROWS).select(*SCOPE, "rank", F.col("label").alias("word"))
 
 
 def acronyms(chunks: DataFrame) -> DataFrame:
     """(scope, short, expansion, defined_in): the last definition of each acronym."""
-    plain = F.regexp_replace("text", FOREIGN, "#")
+    plain = F.regexp_replace("text", FOREIGN_JAVA, "#")
     both = F.arrays_zip(F.regexp_extract_all(plain, F.lit(DEFINITION), F.lit(2)).alias("short"), F.regexp_extract_all(plain, F.lit(DEFINITION), F.lit(1)).alias("full"))
     found = chunks.select(*SCOPE, "chunk", "number", F.posexplode(both).alias("pos", "d"))
     last = found.groupBy(*SCOPE, F.col("d.short").alias("short")).agg(F.max(F.struct("number", "chunk", "pos", F.col("d.full").alias("full"))).alias("m"))
@@ -120,10 +119,11 @@ def bridges(chunks: DataFrame) -> DataFrame:
 def bridge_edges(chunks: DataFrame) -> DataFrame:
     """(scope, src, dst, type, label, weight): every pair of chunks of a scope that share a label, the smaller id first, weighted by
     the geometric mean; and from each acronym's definition to its uses."""
-    maps = bridges(chunks)
-    a = maps.select(*SCOPE, "type", "label", F.col("chunk").alias("src"), F.col("weight").alias("wa"))
-    b = maps.select(*SCOPE, "type", "label", F.col("chunk").alias("dst"), F.col("weight").alias("wb"))
-    edges = a.join(b, [*SCOPE, "type", "label"]).where("src < dst").select(*SCOPE, "src", "dst", "type", "label", F.round(F.sqrt(F.col("wa") * F.col("wb")), 4).alias("weight"))
+    # the chunks of a label lie within one input buffer, so a label's list is short; one pass over it makes the pairs
+    lists = bridges(chunks).groupBy(*SCOPE, "type", "label").agg(F.array_sort(F.collect_list(F.struct("chunk", "weight"))).alias("c"))
+    pair = lambda x, y: F.struct(x["chunk"].alias("src"), y["chunk"].alias("dst"), F.round(F.sqrt(x["weight"] * y["weight"]), 4).alias("weight"))
+    pairs = F.flatten(F.transform("c", lambda x, i: F.transform(F.slice("c", i + 2, F.size("c")), lambda y: pair(x, y))))
+    edges = lists.select(*SCOPE, "type", "label", F.explode(pairs).alias("e")).select(*SCOPE, "e.src", "e.dst", "type", "label", "e.weight")
     uses = acronym_usage(chunks).select(*SCOPE, F.col("defined_in").alias("src"), F.col("used_in").alias("dst"), F.lit("acronym").alias("type"), F.col("short").alias("label"), F.lit(ACRONYM_WEIGHT).alias("weight"))
     return edges.unionByName(uses)
 
