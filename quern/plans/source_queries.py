@@ -63,7 +63,7 @@ def _lines(spark, d):
 def ndjson_objects(spark, d):
     """The fields of every JSON line in the chunks; other lines are passed over and keep their numbers."""
     held = structured.valid_ndjson(_lines(spark, d).where(F.startswith("text", F.lit("{"))), "text")
-    return held.select("chunk_id", "line", F.explode(F.from_json("text", "map<string,string>")).alias("k", "v"))
+    return held.select("chunk_id", F.col("line").cast("bigint").alias("line"), F.explode(F.from_json("text", "map<string,string>")).alias("k", "v"))
 
 
 def json_deep_flatten(spark, d):
@@ -83,7 +83,7 @@ def json_shapes(spark, d):
 
 
 def xml_record_fields(spark, d):
-    return structured.xml_records(chunk_rows(spark, d, "text"), "chunk_id", "text", "record").select(F.col("key").alias("chunk_id"), "record", "field", "value")
+    return structured.xml_records(chunk_rows(spark, d, "text"), "chunk_id", "text", "record").select(F.col("key").alias("chunk_id"), F.col("record").cast("bigint").alias("record"), "field", "value")
 
 
 def xml_record_tags(spark, d):
@@ -95,7 +95,7 @@ def yaml_objects(spark, d):
     """Nations written as a YAML sequence per region and read back."""
     item = F.concat(F.lit("- name: "), F.col("n_name"), F.lit("\n  place:\n    key: "), F.col("n_nationkey").cast("string"), F.lit("\n"))
     docs = table(spark, d, "nation").groupBy("n_regionkey").agg(F.array_join(F.array_sort(F.collect_list(item)), "").alias("text"))
-    return structured.yaml_records(docs, "n_regionkey", "text").select(F.col("key").alias("region"), "object", "k", "v")
+    return structured.yaml_records(docs, "n_regionkey", "text").select(F.col("key").alias("region"), F.col("object").cast("bigint").alias("object"), "k", "v")
 
 
 def html_units(spark, d):
@@ -268,7 +268,7 @@ ORACLE: dict[str, str] = {
     SELECT chunk_id, record, field, trim(value) AS value FROM f""",
     "yaml_objects": """
     WITH n AS (SELECT *, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_name) - 1 AS o FROM nation)
-    SELECT n_regionkey::VARCHAR AS region, o AS object, k, v FROM n, LATERAL (VALUES ('name', n_name), ('place.key', n_nationkey::VARCHAR)) x(k, v)""",
+    SELECT n_regionkey AS region, o AS object, k, v FROM n, LATERAL (VALUES ('name', n_name), ('place.key', n_nationkey::VARCHAR)) x(k, v)""",
     "html_units": """
     SELECT p_brand AS brand, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS unit, 'row' AS kind, 'name: ' || p_name || ', type: ' || p_type AS rendered FROM part
     UNION ALL SELECT DISTINCT p_brand, 0, 'content', '[P] Parts that are sold under the brand ' || p_brand FROM part""",

@@ -114,7 +114,7 @@ ORACLE: dict[str, str] = {
     f AS (SELECT document_id, buf, count(*) AS n FROM (SELECT document_id, tag, min(buf) AS buf FROM t WHERE tag <> '' GROUP BY ALL) GROUP BY ALL),
     e AS (SELECT document_id, buf, coalesce(n, 0) AS new_tags FROM (SELECT DISTINCT document_id, buf FROM t) LEFT JOIN f USING (document_id, buf))
     SELECT *, coalesce(sum(new_tags) OVER (PARTITION BY document_id ORDER BY buf ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS known_before FROM e""",
-    "checkpoint_antijoin": f"WITH {SC} SELECT doc, number // 30 AS batch, min(number) AS first_no, max(number) AS last_no, count(*) AS n FROM sc WHERE doc NOT IN (SELECT id FROM {UP} WHERE status = 'PROCESSED') GROUP BY ALL",
+    "checkpoint_antijoin": f"WITH {SC} SELECT doc, (number // 30)::BIGINT AS batch, min(number)::BIGINT AS first_no, max(number)::BIGINT AS last_no, count(*) AS n FROM sc WHERE doc NOT IN (SELECT id FROM {UP} WHERE status = 'PROCESSED') GROUP BY ALL",
     "ingest_scatter_gather": f"""
     WITH {SC}, {_DENSE}, {_ENT} SELECT sc.chunk, len(list_distinct({_words('[a-z]{4,}')})) AS terms, key IS NOT NULL AS dense, coalesce(n, 0) AS entities, least(2, len(list_distinct({_words('[a-z]{8,}')}))) AS tags
     FROM sc LEFT JOIN dense ON key = sc.chunk LEFT JOIN (SELECT chunk, count(*) AS n FROM ent GROUP BY 1) e ON e.chunk = sc.chunk""",
