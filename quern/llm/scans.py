@@ -1,7 +1,7 @@
 """Text of scanned pages repaired into continuous readable paragraphs.
 
-One pass over all chunks tells hard-wrapped pages from other text by their layout and counts the words of the other text; the
-most frequent of them are the lexicon. Running headers and page numbers are taken out of a page; the remaining characters
+A first pass over all chunks tells scanned uploads from others by the layout of their chunks; a second counts the words of the
+other uploads, the most frequent of which are the lexicon. Every chunk of a scanned upload is a page, whatever its own layout. Running headers and page numbers are taken out of a page; the remaining characters
 are read as one stream without line ends, and a joint segmentation is decoded by dynamic programming: every token may be kept,
 read through character confusions, merged with the next, split in two, or joined across a line end with or without its hyphen, each at
 a cost against the word's probability. Paragraph boundaries between lines are chosen by a second dynamic
@@ -64,27 +64,34 @@ def wrap_share(text: str) -> float | None:
     return full / told if told >= 2 else None
 
 
+def _layout(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (doc, n): for every document its hard-wrapped chunks less the others whose layout tells."""
+    for batch in batches:
+        votes: Counter[str] = Counter()
+        for doc, text in zip(*(batch.column(i).to_pylist() for i in range(2)), strict=True):
+            share = wrap_share(text)
+            if share is not None:
+                votes[doc] += 1 if share >= FULL_SHARE else -1
+        yield pa.RecordBatch.from_arrays([pa.array(list(votes), pa.string()), pa.array(list(votes.values()), pa.int64())], names=["doc", "n"])
+
+
 def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (kind, a, doc, n, text): word counts (w), compound counts (c), layout votes per document (v), pages (p)."""
+    """Rows (kind, a, doc, n, text): counts of words of unscanned uploads (w), compound counts (c), pages of scanned ones (p)."""
     words: Counter[str] = Counter()
     compounds: Counter[str] = Counter()
-    votes: Counter[str] = Counter()
 
     def counts() -> pa.RecordBatch:
-        rows = [("w", w, None, n, None) for w, n in words.items()] + [("c", w, None, n, None) for w, n in compounds.items()] + [("v", None, d, n, None) for d, n in votes.items() if d is not None]
-        words.clear(), compounds.clear(), votes.clear()
+        rows = [("w", w, None, n, None) for w, n in words.items()] + [("c", w, None, n, None) for w, n in compounds.items()]
+        words.clear(), compounds.clear()
         return _batch(rows)
 
     for batch in batches:
         pages = []
-        for chunk, doc, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-            share = wrap_share(text)
-            if share is not None and share < FULL_SHARE:
-                words.update(WORD.findall(text.lower()))
-                votes[doc] -= 1
+        for chunk, doc, text, scanned in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+            if scanned:
+                pages.append(("p", chunk, doc, None, text))
             else:
-                votes[doc] += share is not None
-                pages.append(("p", chunk, doc, int(share is not None), text))
+                words.update(WORD.findall(text.lower()))
             if "-" in text:
                 compounds.update(COMPOUND.findall(text.lower()))
         if pages:
@@ -347,24 +354,25 @@ def repair_scans(chunks: DataFrame, uploads: DataFrame) -> DataFrame:
     """One row per chunk of a scanned upload: (chunk_id, document_id, paragraphs array<string>, defects array<string>).
 
     An upload counts as scanned by its pages' layout: most of its chunks whose layout tells are hard-wrapped; where none
-    tells, by its latest ``is_ocr_needed``. Formats that hold no pages don't count. Rows with a null or blank
+    tells, by its latest ``is_ocr_needed``. Then all its chunks are repaired. Formats that hold no pages don't count. Rows with a null or blank
     text, chunk_id or document_id take no part; of differing rows of one chunk the greatest text counts; documents without an
     upload are judged by layout alone. Defects are hyphenation, misread, running_header and page_number. Empty tables
     give an empty result; columns not named here aren't read."""
     rows = chunks.where("chunk_id is not null and document_id is not null and trim(text) <> ''").select("chunk_id", "document_id", "text")
-    seen = cut_lineage(rows.mapInArrow(_survey, "kind string, a string, doc string, n bigint, text string"))
+    votes = rows.select("document_id", "text").mapInArrow(_layout, "doc string, n bigint").groupBy("doc").agg(F.sum("n").alias("vote"))
+    up = latest_rows(uploads, ["id"], "updated_at", ["id", "type", "is_ocr_needed"]).select(F.col("id").alias("doc"), F.lower(F.trim("type")).alias("type"), F.coalesce("is_ocr_needed", F.lit(False)).alias("ocr"))
+    vote = F.coalesce("vote", F.lit(0))
+    by_layout = (vote > 0) | ((vote == 0) & F.coalesce("ocr", F.lit(False)))
+    judged = cut_lineage(votes.join(up, "doc", "full").where(by_layout & ~F.coalesce(F.col("type").isin(*NOT_SCANNED), F.lit(False))).select(F.col("doc").alias("document_id"), F.lit(True).alias("scanned")))
+    marked = rows.join(judged, "document_id", "left").select("chunk_id", "document_id", "text", F.coalesce("scanned", F.lit(False)).alias("scanned"))
+    seen = cut_lineage(marked.mapInArrow(_survey, "kind string, a string, doc string, n bigint, text string"))
 
     def most(kind: str) -> dict[str, int]:
         counted = seen.where(F.col("kind") == kind).groupBy("a").agg(F.sum("n").alias("n")).where(F.col("n") >= (MIN_COUNT if kind == "w" else 2))
         return {r["a"]: r["n"] for r in counted.orderBy(F.desc("n"), "a").limit(LEXICON_WORDS).collect()}
 
     shared = chunks.sparkSession.sparkContext.broadcast((most("w"), most("c")))  # at most 2 x LEXICON_WORDS words
-    up = latest_rows(uploads, ["id"], "updated_at", ["id", "type", "is_ocr_needed"]).select(F.col("id").alias("doc"), F.lower(F.trim("type")).alias("type"), F.coalesce("is_ocr_needed", F.lit(False)).alias("ocr"))
-    votes = seen.where("kind = 'v'").groupBy("doc").agg(F.sum("n").alias("vote"))
-    pages = seen.where("kind = 'p'").groupBy(F.col("a").alias("chunk_id")).agg(F.max(F.struct("text", "doc", "n")).alias("x")).select("chunk_id", "x.doc", "x.n", "x.text")
-    judged = pages.join(votes, "doc", "left").join(up, "doc", "left")
-    vote = F.coalesce("vote", F.lit(0))
-    scanned = judged.where(((vote > 0) | ((vote == 0) & F.coalesce("ocr", F.lit(False)))) & ~F.coalesce(F.col("type").isin(*NOT_SCANNED), F.lit(False)))
+    scanned = seen.where("kind = 'p'").groupBy(F.col("a").alias("chunk_id")).agg(F.max(F.struct("text", "doc")).alias("x")).select("chunk_id", "x.doc", "x.text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon = None

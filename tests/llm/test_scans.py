@@ -83,3 +83,18 @@ def test_repeated_rows_long_pages_and_missing_uploads(spark):
     text = page(prose(rng, 6000))
     out = s.repair_scans(*frames(spark, [("a", "d", text), ("a", "d", text), ("b", "e", text)], [("e", None, None, None), ("e", "audio", True, 2)])).collect()
     assert [r.chunk_id for r in out] == ["a"] and sum(len(p) for p in out[0].paragraphs) > 30_000
+
+
+def test_every_chunk_of_a_scanned_upload_is_a_page(spark):
+    rng = random.Random(4)
+    plain = [(f"x{i}", "plain", prose(rng, 90)) for i in range(30)]
+    pages = [(f"p{i}", "doc", page(prose(rng))) for i in range(4)]
+    wide = " ".join(prose(rng, 24).split()) + "\nPage 4 of 9\n" + page(prose(rng))
+    loose = page(prose(rng)).split("\n")
+    loose = "\n".join([*loose[:2], "The va1ve", *loose[2:4], "The pump", *loose[4:6], "- 5 -"])
+    ragged = "\n".join(["Valve pressure table reading", "Pump meter section report", "Valve pressure table reading", "Pump meter section report", "- 6 -"])
+    chunks = [*plain, *pages, ("wide", "doc", wide), ("loose", "doc", loose), ("ragged", "doc", ragged)]
+    assert s.wrap_share(wide) == 0.0 and s.wrap_share(ragged) < s.FULL_SHARE
+    out = {r.chunk_id: set(r.defects) for r in s.repair_scans(*frames(spark, chunks, [("doc", "pdf", True, 1), ("plain", "text", False, 1)])).collect()}
+    assert set(out) == {"p0", "p1", "p2", "p3", "wide", "loose", "ragged"}
+    assert out["wide"] == {"page_number"} and out["loose"] == {"page_number", "misread"} and out["ragged"] == {"page_number"}
