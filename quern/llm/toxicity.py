@@ -1,8 +1,8 @@
 """Abusive, hateful and sexually explicit language, by weak supervision.
 
 Texts are read through common disguises (look-alike and invisible characters, digits for letters, spaced, stretched and
-starred-out words). Sentences that hold any word of the lexicons are passages; many lexicon and pattern voters vote on each
-of them: for, against, or not at all. A generative label model, fitted by expectation maximisation, estimates how
+starred-out words). Sentences that hold a word of the lexicons or match any pattern that votes for are passages; many lexicon and
+pattern voters vote on each of them: for, against, or not at all. A generative label model, fitted by expectation maximisation, estimates how
 accurate each voter is and how much the votes of voters that err together must be discounted; its posteriors are the labels of a
 linear classifier over the passage's words and word pairs. A document's score is its worst passage's.
 
@@ -16,6 +16,7 @@ import unicodedata
 from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
+from re import _parser  # type: ignore[attr-defined]
 from zlib import crc32
 
 import numpy as np
@@ -57,7 +58,7 @@ HOMOGLYPHS = {"а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "х": "x",
 INVISIBLE = "­​‌‍‎‏⁠﻿᠎͏"
 DIGITS = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "il", "€": "e", "£": "l", "v": "u", "(": "c", "+": "t"}
 
-TRIGGERS = sorted({*INSULTS, *PROFANE, *GROUPS, *SEXUAL, *VIOLENT, "people", "stupid", "filthy", "ugly", "worthless", "pathetic", "disgusting", "brainless", "vermin", "filth", "sack", "un con", "pauvre con", "sale con", "gros con"} - {"con"})
+TRIGGERS = sorted({*INSULTS, *SLURS, *PROFANE, *GROUPS, *DEGRADING, *SEXUAL, *VIOLENT, "people", "sack", "un con", "pauvre con", "sale con", "gros con"} - {"con"})
 #: Words that a disguise may stand for.
 KNOWN = frozenset({*INSULTS, *SLURS, *PROFANE, *GROUPS, *DEGRADING, *SEXUAL, *VIOLENT, "arsch"})
 
@@ -176,14 +177,14 @@ VOTERS: list[tuple[str, int, str]] = [
     ("slur_noun", 1, rf"{_ADJ}\s+(?:{_ADJ}\s+)?{_NOUN}"),
     ("sack_of", 1, r"\b(?:sack|piece|bag|load) of (?:garbage|shit|crap|trash|filth)|\byou\s+(?:\w+\s+)?sack of\b"),
     ("this_noun", 1, rf"\bthis\s+{_NOUN}\s+(?:from|here|cannot|can't)"),
-    ("off_with_you", 1, r"\bfuck(?:ing)? (?:off|you|yourself)|\bscrew you|\bget lost\b|\bshut (?:your|the fuck)|\byou fucking|\bgo to hell|\bcrawl back into|\bgo crawl"),
+    ("off_with_you", 1, r"\bfuck(?:ing)? (?:off|you|yourself)|\bscrew you|\bget lost\b(?! (?:in|on|when|because|between|at|during|if)\b)|\bshut (?:your(?! (?:laptop|computer|window|door|browser)\b)|the fuck)|\byou fucking|\bgo to hell|\bcrawl back into|\bgo crawl"),
     ("you_smell", 1, r"\byou smell\b|\byou are (?:ugly|disgusting|filthy|pathetic|worthless)|\bnobody here can stand you|\bashamed of having raised"),
     ("harm_body", 1, r"\b(?:break|smash|punch|kick|bash|cut|slit|crush|rip) your\s+(?:\w+\s+)?(?:jaw|face|head|neck|teeth|legs|skull|throat|arms|bones)|\b(?:your face|your jaw) in\b|\bput you in the (?:hospital|ground|morgue|grave)"),
-    ("harm_wish", 1, r"\b(?:hope|wish) you (?:choke|die|rot|burn|get)|\bnobody would miss you|\bdropped dead|\bshould never have been born|\bsee you (?:beaten|dead|hang|bleed)|\bkill you\b|\bkill yourself|\bdo us all a favou?r and\b|\bdrop dead\b"),
-    ("menace", 1, r"\bwatch your back\b|\baccidents happen\b|\bwait for you\b.*\bknife|\bknow where you (?:park|live|sleep|work)|\bnext time i will\b|\bor i will (?:kill|hurt|break)|\bone day somebody will\b|\bkeep talking and\b"),
+    ("harm_wish", 1, r"\b(?:hope|wish) you (?:choke|die|rot|burn|get(?! (?:well|better|some|home|back|there|(?:an?|the|your|this) (?:job|chance|answer|position|promotion|rest|refund))\b))|\bnobody would miss you|\bdropped dead|\bshould never have been born|\bsee you (?:beaten|dead|hang|bleed)|\bkill you\b|\bkill yourself|\bdo us all a favou?r and\b|\bdrop dead\b"),
+    ("menace", 1, r"\bwatch your back\b|\baccidents happen\b|\bwait for you\b.*\bknife|\bknow where you (?:park|live|sleep|work)|\bnext time i will\b(?! (?:read|check|use|try|ask|know|bring|order|remember|call|write|test|be more)\b)|\bor i will (?:kill|hurt|break)|\bone day somebody will\b|\bkeep talking and\b"),
     ("group_degraded", 1, rf"{_GROUP}(?:\s+[\w'’]+){{0,6}}?,?\s+(?:are|is|sind|sont|son|they are)\s+(?:[\w'’]+\s+){{0,4}}{_BAD}|{_GROUP}.*\bthey (?:are (?:vermin|filth|animals|rats)|breed)"),
     ("group_stupid", 1, rf"(?:{_GROUP}|old people)(?:\s+\w+){{0,4}}\s+(?:are|is|sind|sont|son)\s+(?:too stupid|zu (?:blöd|dumm)|trop (?:bêtes|stupides|connes)|demasiado tont[ao]s)|\bit is in their blood"),
-    ("group_out", 1, r"\bkeep\b.*\bout of our\b|\bdriven out\b|\bround up\b.*\b(?:burn|shoot|deport)|\bburn their houses|\block up\b.*\bthrow away the key|\bdisappear from this country|\bno vote and no home|\bcame and infected|\bdecent folk must not mix|\bnever hire\b.*\bthey are|\bunderstand the whip|\bdeserve to be treated as human|\bbreed like\b"),
+    ("group_out", 1, r"\bkeep\b.*\bout of our\b|\bdriven out\b(?! (?:of|by|with|from) (?:the|its|an?) (?:punch|hole|bore|housing|hammer|shaft|press|pin|tool)\b)|\bround up\b.*\b(?:burn|shoot|deport)|\bburn their houses|\block up\b.*\bthrow away the key|\bdisappear from this country|\bno vote and no home|\bcame and infected|\bdecent folk must not mix|\bnever hire\b.*\bthey are|\bunderstand the whip|\bdeserve to be treated as human|\bbreed like\b"),
     ("group_de_fr_es", 1, r"\b(?:müssen|gehören) weg\b|\bmüssen raus\b|\bgehören nicht zu den menschen|\bungeziefer\b|\bvermine\b|qu['’]ils dégagent|\bne méritent pas\b|\bces animaux\b|\b(?:una|la) plaga\b.*\becharlos|\bhay que echarlos|\bno merecen (?:vivir|ser)|\bdemasiado tontas\b|\bzu blöd für\b|\btrop (?:bêtes|stupides|connes) pour\b"),
     ("abuse_de", 1, r"\b(?:du|dir|dich|dein|euch|ihr)\b.*" + _any([w for w in INSULTS if w in "idiot idiotin trottel vollidiot arschloch schwein drecksau miststück hurensohn hure schlampe depp vollpfosten wichser fotze missgeburt spast penner versager".split()]) + r"|\bverpiss dich|\bhalt (?:endlich )?(?:die fresse|dein maul|die klappe)|\bso ein (?:dummes |dummer |blödes )?" + _any("arschloch idiot trottel depp schwein".split())),
     ("threat_de", 1, r"\bschlag(?:e)? dir\b|\bbring(?:e)? dich um|\bdir die (?:zähne|fresse|knochen)|\bmach(?:e)? dich (?:fertig|kalt)"),
@@ -191,8 +192,8 @@ VOTERS: list[tuple[str, int, str]] = [
     ("threat_fr", 1, r"\bje vais te (?:casser|tuer|crever|frapper|buter|démolir)|\bte casser la (?:figure|gueule)"),
     ("abuse_es", 1, r"\b(?:eres|maldit[oa]|qué|pedazo de|vaya|tu)\b.*" + _any("idiota imbécil gilipollas cabrón cabrona puta puto estúpido estúpida inútil hijoputa pendejo pendeja zorra subnormal tarado tarada cretino capullo".split()) + r"|\bcállate\b|\bde mierda\b|\bvete a la mierda|\bhijo de puta"),
     ("threat_es", 1, r"\bte voy a (?:partir|matar|romper|reventar|rajar)|\bpartir la cara"),
-    ("sex_ask", 1, r"\bsend (?:me )?(?:your )?(?:nudes|pics of your)|\bbend over for me|\bwant you naked|\bhorny (?:little )?\w+|\bto spank\b|\btouch yourself|\bhow wet you are|\blick every inch|\bwith nothing on\b|\bcome to my room\b|\bno strings\b"),
-    ("sex_scene", 1, r"\brough sex\b|\bthrust(?:ed)? into\b|\bbare breasts\b|\bbetween her thighs|\btore off her\b|\bhead down to his\b|\buntil (?:she|he|both|they) (?:climaxed|came)|\bhis cock\b|\bunzipped his\b|\bmoaned as\b|\bhad ridden him\b"),
+    ("sex_ask", 1, r"\bsend (?:me )?(?:your )?(?:nudes|pics of your)|\bbend over for me|\bwant you naked|\bhorny (?:little )?\w+|\bto spank\b|\btouch yourself|\bhow wet you are|\blick every inch|\bwith nothing on\b|\bcome to my room\b|\bno strings\b(?! attached)"),
+    ("sex_scene", 1, r"\brough sex\b|\bthrust(?:ed)? into\b|\bbare breasts\b|\bbetween her thighs|\btore off her\b|\bhead down to his\b|\buntil (?:she|he|both|they) (?:climaxed|came(?! (?:back|home|to|in|out|up|down|over|across|along)\b))|\bhis cock\b|\bunzipped his\b(?! (?:bag|jacket|coat|tent|backpack|suitcase)\b)|\bmoaned as\b|\bhad ridden him\b"),
     ("sex_trade", 1, r"\bhot naked\b|\bexplicit xxx\b|\bhardcore (?:porn|sex)|\bxxx (?:videos|pics)|\bnaked girls\b"),
     ("sex_de_fr_es", 1, r"\bnacktbilder\b|\btrieben es\b|\bdie bluse auf\b|\bphotos de toi nue|\bbaisèrent\b|\barracha sa culotte|\bfotos (?:tuyas )?desnud[ao]|\bfollaron\b|\barrancó (?:las bragas|la ropa|la blusa)"),
     ("policy", -1, r"\b(?:policy|bans|prohibits|moderation|must report|harassment|hate speech|guidelines?|richtlinie|verbietet|règlement|interdit|política|prohíbe|normas|reglamento)\b"),
@@ -214,13 +215,105 @@ def votes(passage: str) -> list[int]:
     return [v if p.search(passage) else 0 for (_, v, _), p in zip(VOTERS, _compiled(), strict=True)]
 
 
+#: A word's edge in an anchor; most strings that a part of a pattern is spelled out into.
+_EDGE, _SPELLED = "\0", 300
+
+
+def _spelled(node: tuple) -> set[str] | None:
+    """All strings that a part of a pattern matches, if they are few; white space is one space, as in passages."""
+    op, arg = str(node[0]), node[1]
+    if op == "LITERAL":
+        return {chr(arg)}
+    if op == "AT":
+        return {_EDGE if str(arg) == "AT_BOUNDARY" else ""}
+    if op in ("ASSERT", "ASSERT_NOT"):
+        return {_EDGE if op == "ASSERT_NOT" and [str(x) for x in arg[1]] == ["(IN, [(CATEGORY, CATEGORY_WORD)])"] else ""}
+    if op == "IN" and all(str(kind) == "LITERAL" for kind, _ in arg):
+        return {chr(c) for _, c in arg}
+    if op == "IN" and [str(x[1]) for x in arg] == ["CATEGORY_SPACE"]:
+        return {" "}
+    if op == "SUBPATTERN":
+        return _sequence(arg[3])[0]
+    if op == "BRANCH":
+        parts = [_sequence(x)[0] for x in arg[1]]
+        return None if any(x is None for x in parts) else set().union(*parts)
+    if op in ("MAX_REPEAT", "MIN_REPEAT"):
+        least, most, body = arg
+        once = _sequence(body)[0]
+        if once is None or not (once == {" "} and least == 1 or most == 1):
+            return None
+        return once | {""} if least == 0 else once
+    return None
+
+
+def _needed(node: tuple) -> set[str] | None:
+    """Strings of which every match of a part of a pattern holds one, if there are such."""
+    op, arg = str(node[0]), node[1]
+    if op == "SUBPATTERN":
+        return _sequence(arg[3])[1]
+    if op == "BRANCH":
+        parts = [_sequence(x)[1] for x in arg[1]]
+        return None if any(x is None for x in parts) else set().union(*parts)
+    if op in ("MAX_REPEAT", "MIN_REPEAT") and arg[0] > 0:
+        return _sequence(arg[2])[1]
+    return None
+
+
+def _sequence(nodes) -> tuple[set[str] | None, set[str] | None]:
+    """The two answers above for parts in a row; of the strings needed, the set whose shortest, edges
+    counted, is longest."""
+    runs: list[set[str] | None] = []
+    run, whole = {""}, True
+    for node in nodes:
+        spelled = _spelled(node)
+        if spelled is None or len(run) * len(spelled) > _SPELLED:
+            runs += [run, _needed(node)]
+            run, whole = spelled or {""}, False
+        else:
+            run = {a + b for a in run for b in spelled}
+    runs.append(run)
+    useful = [r for r in runs if r and all(x.strip(_EDGE + " ") for x in r)]
+    best = max(useful, key=lambda r: (min(len(x.strip(" ")) for x in r), -len(r)), default=None)
+    return (run if whole else None), best
+
+
+def anchors(pattern: str) -> set[tuple[str, bool, bool]]:
+    """(string, starts a word, ends a word): every match of ``pattern`` in a passage holds one of them."""
+    needed = _sequence(_parser.parse(pattern))[1]
+    if needed is None:
+        raise ValueError(f"no anchor in {pattern}")
+    out = set()
+    for x in needed:
+        plain = x.replace(_EDGE, "")
+        out.add((plain, x[0] == _EDGE and plain[0].isalnum(), x[-1] == _EDGE and plain[-1].isalnum()))
+    return out
+
+
 @lru_cache(maxsize=1)
 def _automaton():
+    """Strings with their readings (length, starts a word, ends a word, voter); the voter of a trigger is None."""
     import ahocorasick
 
+    readings: dict[str, list[tuple[int, bool, bool, int | None]]] = {}
+    for w in TRIGGERS:
+        readings.setdefault(w, []).append((len(w), True, True, None))
+    for i, (_, vote, pattern) in enumerate(VOTERS):
+        for w, starts, ends in anchors(pattern) if vote > 0 else ():
+            readings.setdefault(w, []).append((len(w), starts, ends, i))
     found = ahocorasick.Automaton()
-    for w in [*TRIGGERS, *(v for v, u in _v_words().items() if u in TRIGGERS)]:
-        found.add_word(w, len(w))
+    for w, r in readings.items():
+        found.add_word(w, r)
+    found.make_automaton()
+    return found
+
+
+@lru_cache(maxsize=1)
+def _v_automaton():
+    import ahocorasick
+
+    found = ahocorasick.Automaton()
+    for w in _v_words():
+        found.add_word(w, [(len(w), True, True, None)])
     found.make_automaton()
     return found
 
@@ -228,16 +321,32 @@ def _automaton():
 _BREAK = re.compile(r"[.!?…]+(?=\s|$)|[\r\n]+|\slol(?=\s)")
 
 
-def _held(low: str) -> list[int]:
-    """Where whole lexicon words end."""
+_BLANKS = re.compile(r"[^\S\r\n ]|[^\S\r\n]{2,}")
+
+
+def _spots(low: str, automaton) -> Iterator[tuple[int, int | None]]:
+    """(end, voter) of the strings found, where their edges are as they must be."""
     size = len(low)
-    return [e for e, n in _automaton().iter(low) if not (e + 1 < size and low[e + 1].isalnum()) and not (e >= n and low[e - n].isalnum())]
+    for e, readings in automaton.iter(low):
+        for n, starts, ends, voter in readings:
+            if not (ends and e + 1 < size and low[e + 1].isalnum()) and not (starts and e >= n and low[e - n].isalnum()):
+                yield e, voter
+
+
+def _speaks(sentence: str) -> bool:
+    """Whether a sentence holds a trigger or a voter votes for it."""
+    voters = {v for _, v in _spots(sentence, _automaton())}
+    return None in voters or any(_compiled()[v].search(sentence) for v in voters)  # type: ignore[index]
 
 
 def passages(text: str) -> list[str]:
-    """The sentences that hold a word of the lexicons, undisguised; very long ones as windows around the words."""
-    low = plain_letters(text)
-    spots = sorted({*_held(low), *(m.start() + 1 for m in _SIGNS.finditer(low))})
+    """The sentences that hold a word of the lexicons or match a pattern that votes for, undisguised; very long ones as windows
+    around the words."""
+    low = _BLANKS.sub(" ", plain_letters(text))
+    spots = {e for e, _ in _spots(low, _automaton())} | {m.start() + 1 for m in _SIGNS.finditer(low)}
+    if "v" in low:
+        spots |= {e for e, _ in _spots(low, _v_automaton())}
+    spots = sorted(spots)
     if not spots:
         return []
     cuts = [0, *(m.end() for m in _BREAK.finditer(low)), len(low)]
@@ -251,7 +360,7 @@ def passages(text: str) -> list[str]:
             start, end = max(start, spot - MAX_PASSAGE // 2, last), min(end, spot + MAX_PASSAGE // 2)
         last = end
         sentence = undisguised(" ".join(low[start:end].split()))
-        if _held(sentence):
+        if _speaks(sentence):
             out.append(sentence)
     return out
 

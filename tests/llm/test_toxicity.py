@@ -56,3 +56,27 @@ def test_cases(spark):
     assert got[3].flagged and got[4].flagged and got[5].flagged and got[5].source == "s" and got[3].source is None
     assert x.score_documents(frame(spark, [])).count() == 0
     assert x.scored_documents(frame(spark, [(1, PLAIN[0], "s")])).where(F.col("score") >= x.FLAGGED).count() == 0
+
+
+UNLISTED = ["I know where you live.", "Watch  your\tback.", "I will break your neck.", "I will slit your throat.", "Go to hell.", "Touch yourself for me.", "Come to my room tonight with nothing on.", "A piece of trash.", "I hope you burn.", "Ich mach dich kalt.", "Ich bring dich um.", "Halt dein Maul.", "Je vais te buter.", "Te voy a reventar.", "Keep Asians out of our town.", "Asians breed like flies."]
+EVERYDAY = ["Packets get lost in the queue.", "I hope you get well soon.", "Next time I will read the manual first.", "We waited until they came back.", "The pins are driven out with a punch.", "Please shut your laptop."]
+
+
+def test_voters_reach_sentences_without_triggers(spark):
+    for text in UNLISTED:
+        assert len(x.passages(f"{PLAIN[0]} {text} {PLAIN[1]}")) == 1, text
+    rows = [(i, f"{PLAIN[i % 4]} {t} {PLAIN[0]}", "s") for i, t in enumerate(UNLISTED)] + [(100 + i, f"{b} {PLAIN[0]}", "s") for i, b in enumerate(BAD * 2)]
+    rows += [(200 + i, f"{PLAIN[i % 4]} {t}", "s") for i, t in enumerate(EVERYDAY + CLEAN)]
+    got = {r.doc_id: r.flagged for r in x.score_documents(frame(spark, rows)).collect()}
+    assert [t for i, t in enumerate(UNLISTED) if not got[i]] == [] and not any(f for i, f in got.items() if i >= 200)
+
+
+def test_every_match_holds_an_anchor():
+    for name, vote, pattern in x.VOTERS:
+        assert vote < 0 or all(word.strip() for word, *_ in x.anchors(pattern)), name
+    assert x.anchors(r"\b(?:go|walk)\s+\w+\s+to\s+hell") == {(" to hell", False, False)}
+    assert x.anchors(r"\bfavou?rs?\b|a.*\b(?:cat|dog)s?\b") == {(w, True, True) for w in ("favor", "favors", "favour", "favours", "cat", "cats", "dog", "dogs")}
+    for text in UNLISTED + BAD:
+        low = " ".join(x.undisguised(x.plain_letters(text)).split())
+        spoken = {i for i, (v, (_, vote, _)) in enumerate(zip(x.votes(low), x.VOTERS, strict=True)) if v > 0 and vote > 0}
+        assert spoken and spoken <= {v for _, v in x._spots(low, x._automaton())}, text
