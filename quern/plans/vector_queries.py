@@ -36,6 +36,16 @@ def question_terms(spark: SparkSession, question: str = QUESTION) -> DataFrame:
     return spark.range(1).select(F.explode(F.array_distinct(content_words(F.lit(question)))).alias("term"), F.lit(1.0).alias("weight"))
 
 
+def asked(rows: DataFrame) -> DataFrame:
+    """The rows that ask as queries: those whose id's hash is divisible by 100."""
+    return rows.where(F.pmod(F.xxhash64("key"), F.lit(100)) == 0).withColumnRenamed("key", "query")
+
+
+def asked_terms(sparse: DataFrame) -> DataFrame:
+    """The distinct words of the chunks that ask, each of weight 1 as in a question."""
+    return asked(sparse).select("query", "term", F.lit(1.0).alias("weight"))
+
+
 def vec_inject_join(spark, d):
     points = vs.build_points(lexical_input(spark, d).select("chunk", "doc"), dense_vectors(spark, d), sparse_vectors(spark, d))
     return points.select("chunk", "doc", F.col("v").isNotNull().alias("has_dense"), F.coalesce("n_terms", F.lit(0)).cast("bigint").alias("n_terms"))
@@ -63,6 +73,23 @@ def vec_rrf(spark, d):
     return _hybrid(spark, d).select("key", F.round("score", 6).alias("score"))
 
 
+def vec_cosine_topk_each(spark, d):
+    """The K points of greatest cosine for every vector that asks."""
+    dense = dense_vectors(spark, d)
+    return vs.dense_top(dense, asked(dense), K).select("query", "key", F.round("score", 6).alias("score"))
+
+
+def vec_sparse_dot_topk_each(spark, d):
+    sparse = sparse_vectors(spark, d)
+    return vs.sparse_top(sparse, asked_terms(sparse), K).select("query", "key", F.round("score", 6).alias("score"))
+
+
+def vec_rrf_each(spark, d):
+    dense, sparse = dense_vectors(spark, d), sparse_vectors(spark, d)
+    legs = [vs.dense_top(dense, asked(dense), K), vs.sparse_top(sparse, asked_terms(sparse), K)]
+    return vs.fuse(legs, K).select("query", "key", F.round("score", 6).alias("score"))
+
+
 def _similar(spark, d):
     docs = chunk_rows(spark, d, "document_id").where("document_id is not null").select(F.col("chunk_id").alias("key"), F.col("document_id").alias("doc"))
     return vs.similar_in_document(dense_vectors(spark, d).join(docs, "key"))
@@ -238,7 +265,7 @@ def plan_answer(spark, d):
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (vec_inject_join, vec_inject_strict, vec_cosine_topk, vec_sparse_dot_topk, vec_rrf, vec_similarity_edges, vec_neighbour_cosine, vec_collections, vec_delete, vec_upsert, score_gate, minmax_normalize, expert_fusion, lane_scores, graph_expand_prev_next, graph_expand_similar, rerank_local, neighbour_dedupe, context_islands, metadata_dedupe, plan_quick, plan_smart, plan_smart_adv, plan_expert, plan_expert_adv, plan_answer)
+    for f in (vec_inject_join, vec_inject_strict, vec_cosine_topk, vec_sparse_dot_topk, vec_rrf, vec_cosine_topk_each, vec_sparse_dot_topk_each, vec_rrf_each, vec_similarity_edges, vec_neighbour_cosine, vec_collections, vec_delete, vec_upsert, score_gate, minmax_normalize, expert_fusion, lane_scores, graph_expand_prev_next, graph_expand_similar, rerank_local, neighbour_dedupe, context_islands, metadata_dedupe, plan_quick, plan_smart, plan_smart_adv, plan_expert, plan_expert_adv, plan_answer)
 }
 
 _Q = "[" + ", ".join(f"'{w}'" for w in sorted({w for w in QUESTION.split() if len(w) > 3 and w not in ("for", "the")})) + "]"

@@ -191,6 +191,35 @@ def test_fusion_and_zero_vectors(spark, rows):
     assert one(spark, vs.cosine(F.array(F.lit(0.0)), F.array(F.lit(1.0)))) == 0.0
 
 
+def test_every_query_row_is_asked(spark, rows, monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(vs, "POOL_BLOCK", 7)
+    v = np.random.default_rng(2).standard_normal((40, 5))
+    v[1], v[39] = v[0], 0
+    points = spark.createDataFrame([(f"k{i:02d}", v[i].tolist()) for i in range(40)], "key string, v array<double>")
+    asks = points.where("key < 'k20'").select(F.substring("key", 2, 2).cast("int").alias("query"), "v")
+    u = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
+    want = {(q, f"k{i:02d}") for q in range(20) for i in sorted(range(40), key=lambda i: (-round(float(u[q] @ u[i]), 9), i))[:3]}
+    dense = vs.dense_top(points, asks, 3)
+    assert {(r.query, r.key) for r in dense.collect()} == want
+    assert rows(vs.dense_top(points, asks.where("query = 4"), 3).drop("query")) == rows(vs.dense_top(points, asks.where("query = 4").drop("query"), 3))
+    assert vs.dense_top(points.limit(0), asks, 3).count() == vs.dense_top(points, asks.limit(0), 3).count() == 0
+    with pytest.raises(Exception, match="need a query id"):
+        vs.dense_top(points, asks.drop("query"), 3).collect()
+    words = spark.createDataFrame([("a", "x", 1.0), ("a", "y", 2.0), ("b", "y", 3.0), ("c", "z", 1.0)], "key string, term string, weight double")
+    terms = spark.createDataFrame([(1, "x", 1.0), (1, "y", 1.0), (2, "z", 2.0), (3, "none", 1.0)], "query int, term string, weight double")
+    assert rows(vs.sparse_top(words, terms, 1)) == [(1, "a", 3.0), (2, "c", 2.0)]
+    rng = random.Random(5)
+    words = spark.createDataFrame([(f"k{i:02d}", f"t{rng.randrange(9)}", float(rng.randrange(1, 4))) for i in range(40) for _ in range(4)], "key string, term string, weight double")
+    terms = words.where("key < 'k20'").select(F.substring("key", 2, 2).cast("int").alias("query"), "term", "weight")
+    each = {q: [(r.key, r.score) for r in vs.sparse_dot(words, terms.where(F.col("query") == q).drop("query")).orderBy(F.desc("score"), "key").limit(3).collect()] for q in (0, 7, 19)}
+    got = vs.sparse_top(words, terms, 3).orderBy("query", F.desc("score"), "key").collect()
+    assert len(got) == 60 and all([(r.key, r.score) for r in got if r.query == q] == x for q, x in each.items())
+    legs = spark.createDataFrame([(1, "x", 0.9), (1, "y", 0.8), (2, "z", 0.1)], "query int, key string, score double"), spark.createDataFrame([(1, "y", 7.0), (2, "w", 3.0)], "query int, key string, score double")
+    assert rows(vs.fuse(list(legs), 2)) == [(1, "x", 0.5), (1, "y", round(1 / 3 + 1 / 2, 9)), (2, "w", 0.5), (2, "z", 0.5)]
+
+
 def test_neighbours_are_dropped_once(spark):
     df = spark.createDataFrame([("a", 0.9, None, "b"), ("b", 0.8, "a", "c"), ("c", 0.7, "b", None), ("d", 0.6, None, None)], "key string, score double, prev_chunk string, next_chunk string")
     assert [r.key for r in retrieval.drop_neighbours(df, [F.desc("score")]).collect()] == ["a", "c", "d"]
