@@ -1,22 +1,23 @@
 """Abusive, hateful and sexually explicit language, by weak supervision.
 
 Texts are read through common disguises (look-alike and invisible characters, digits for letters, spaced, stretched and
-starred-out words). Sentences that hold a word of the lexicons or match any pattern that votes for are passages; many lexicon and
-pattern voters vote on each of them: for, against, or not at all. A generative label model, fitted by expectation maximisation, estimates how
-accurate each voter is and how much the votes of voters that err together must be discounted; its posteriors are the labels of a
-linear classifier over the passage's words and word pairs. A document's score is its worst passage's.
-
-The label model and the classifier are fitted on at most FIT_PASSAGES passages, a hash sample; every document is scored.
+starred-out words) and divided into sentences. Many lexicon and pattern voters (see ``voters``) vote on a sentence: for, against, or not
+at all. A generative label model, fitted by expectation maximisation, estimates how accurate every voter is and which voters depend
+on which (a tree of the strongest dependencies given the label; a voter's weight differs where its parent votes too). Its
+posteriors are the labels of a linear classifier over a sentence's words, word pairs, word classes and voters, in which sentences without any vote
+count as probably harmless. The classifier scores every sentence of every document, whether a voter speaks or not; a document's
+score is its worst sentence's.
+
+The label model and the classifier are fitted on the sentences of at most FIT_DOCUMENTS documents, a hash sample.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
-from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
-from re import _parser  # type: ignore[attr-defined]
+from itertools import chain
 from zlib import crc32
 
 import numpy as np
@@ -25,50 +26,37 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm.mixing import canonical_source
-from quern.runtime import cut_lineage
+from quern.llm.voters import BIT, CLASSES, KNOWN, VOTERS, compiled, gates, word_masks
 
-FIT_PASSAGES = 20_000
-FEATURES = 1 << 15
+#: At most so many documents fit the models; all are scored. Of their sentences without a vote, one in QUIET_EVERY is used.
+FIT_DOCUMENTS = 20_000
+QUIET_EVERY = 8
+FEATURES = 1 << 17
 FLAGGED = 0.5
-MAX_PASSAGE = 600
-#: Taken probability that a passage on which no voter speaks is abusive.
-UNHEARD = 0.05
-
-# Lexicons in English, German, French and Spanish.
-INSULTS = """moron idiot idiots imbecile dunce jackass dumbass loser scumbag bastard clown coward liar parasite pig rat halfwit bitch slut whore cunt
- asshole arsehole motherfucker prick wanker twat retard shithead dickhead cretin nitwit dimwit lowlife degenerate swine creep numbskull dimwits morons losers
- idiotin trottel vollidiot arschloch schwein drecksau miststück hurensohn hure schlampe depp vollpfosten wichser fotze missgeburt spast penner versager
- con connard connasse salope pute ordure crétin crétine enculé abruti abrutie imbécile bâtard salaud débile bouffon pouffiasse
- idiota imbécil gilipollas cabrón cabrona puta puto estúpido estúpida inútil hijoputa pendejo pendeja zorra subnormal tarado tarada cretino capullo maricón""".split()
-SLURS = "stupid filthy rotten worthless pathetic miserable disgusting brainless useless spineless ugly dumb elender elende dreckiges dreckiger dumm dummes dummer pauvre minable sale asqueroso asquerosa maldito maldita".split()
-PROFANE = "fuck fucking fucked fucker shit bullshit screw damn garbage gueule merde putain mierda joder verpiss fresse scheiße scheiß foutre cállate".split()
-GROUPS = """immigrants immigrant foreigners foreigner refugees refugee muslims muslim jews jew blacks gays gay lesbians lesbian women disabled northerners southerners accent faith
- ausländer flüchtlinge frauen juden schwule moslems behinderte zigeuner migranten
- étrangers réfugiés immigrés femmes juifs musulmans arabes homosexuels handicapés
- extranjeros refugiados inmigrantes mujeres judíos musulmanes gitanos homosexuales discapacitados negros moros""".split()
-DEGRADING = """vermin filth animals rats subhuman subhumans infected breed whip scum plague cockroaches burn disappear deserve hire lock mix hold vote
- ungeziefer abschaum tiere menschen blöd weg pack vermine animaux méritent dégagent plaga echarlos tontas ratas animales escoria""".split()
-SEXUAL = """naked nude nudes porn xxx horny spank sex cock dick pussy tits tit breasts breast thighs underwear climaxed orgasm thrust moaned bend lick undress blowjob cum wet sexual
- nacktbilder nackt bluse trieben titten schwanz ficken geil höschen brüste
- nue nues culotte baisèrent baiser seins bite nichons branler jouir
- desnuda desnudas desnudo bragas tetas polla follar follaron coño pechos gemía""".split()
-VIOLENT = """kill jaw smash hospital knife choke beaten dead born park accidents jump hang crawl mouth lost hole smell murder strangle stab shoot
- zähne schlag umbringen abstechen casser tuer crever partir matar muerto muérete""".split()
+#: A vote counts as so many features of a sentence.
+VOTE_COUNTS = 6
+#: So many rows without features and probably harmless belong to every fit, which matters where there are few others.
+PRIOR_ROWS = 100
+#: Rows that are probably abusive are weighted to make up at least this share.
+POSITIVE_SHARE = 0.3
+#: Longer sentences are read in windows of this many characters, each overlapping the next by half.
+MAX_SENTENCE = 300
+#: Taken probability that a sentence on which no voter speaks is abusive.
+UNHEARD = 0.02
+
+# Characters that look like Latin letters, invisible ones, and signs written for letters.
 HOMOGLYPHS = {"а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "х": "x", "у": "y", "і": "i", "ѕ": "s", "ј": "j", "ԁ": "d", "һ": "h", "ԛ": "q", "ԝ": "w", "ո": "n", "ⅼ": "l", "ɡ": "g", "α": "a", "ο": "o", "ε": "e", "ι": "i", "ν": "v", "к": "k", "м": "m", "т": "t", "в": "b", "н": "h", "А": "A", "Е": "E", "О": "O", "Р": "P", "С": "C", "Х": "X", "І": "I", "Ѕ": "S", "Ј": "J", "В": "B", "К": "K", "М": "M", "Т": "T", "Н": "H"}
 INVISIBLE = "­​‌‍‎‏⁠﻿᠎͏"
 DIGITS = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "il", "€": "e", "£": "l", "v": "u", "(": "c", "+": "t"}
 
-TRIGGERS = sorted({*INSULTS, *SLURS, *PROFANE, *GROUPS, *DEGRADING, *SEXUAL, *VIOLENT, "people", "sack", "un con", "pauvre con", "sale con", "gros con"} - {"con"})
-#: Words that a disguise may stand for.
-KNOWN = frozenset({*INSULTS, *SLURS, *PROFANE, *GROUPS, *DEGRADING, *SEXUAL, *VIOLENT, "arsch"})
-
 _TABLE = {ord(k): v for k, v in HOMOGLYPHS.items()} | {ord(c): None for c in INVISIBLE}
 _SQUEEZE = re.compile(r"(.)\1+")
 _STRETCHED = re.compile(r"\w*?(\w)\1{2,}\w*")
 _SPACED = re.compile(r"(?<![^\W_])[^\W_]([ ._\-*/])[^\W_](?:\1[^\W_])+(?![^\W_])(?:\1(?=\W|$))?")
 _CODED = re.compile(r"[^\W_]*[0-9@$!|€£+(][^\W_]*(?:[0-9@$!|€£+(]+[^\W_]*)*")
-# Signs of a disguise: a letter alone between equal separators, a digit or sign inside or before letters, stars, three equal letters.
-_SIGNS = re.compile(r"([ ._\-*/])[^\W_]\1[^\W_]\1|[^\W\d_][0-9@$!|€£]+[^\W\d_]|(?<!\w)[0-9@$!|€£][^\W\d_]{2}|\*\*|([^\W\d_])\2\2")
+# A digit or sign inside or before letters; other signs of a disguise are told from a sentence's words (see ``_Words``).
+_SIGNS = re.compile(r"[0-9@$!|€£](?:(?<=[^\W\d_].)[0-9@$!|€£]*[^\W\d_]|(?<!\w.)[^\W\d_]{2})|\*\*")
+_ODD = re.compile("[" + "".join(HOMOGLYPHS) + INVISIBLE + "]")
 _VFORU = re.compile(r"(?<![^\W_])[a-z]*v[a-z]*(?![^\W_])")
 _STARRED = re.compile(r"(?<![\w*])[^\W\d_](?:[^\W\d_]{0,2})\*{2,}[^\W\d_]{0,2}(?![\w*])")
 
@@ -80,7 +68,9 @@ def _squeezed() -> dict[str, str]:
 
 @lru_cache(maxsize=1)
 def _v_words() -> dict[str, str]:
-    return {w.replace("u", "v"): w for w in KNOWN if "u" in w}
+    """Rude words with v for u, where that is no word of its own."""
+    every = word_masks()
+    return {v: w for name in ("profane", "insult", "slur") for w in sorted(CLASSES[name]) if "u" in w and len(w) > 3 and (v := w.replace("u", "v")) not in every}
 
 
 def _spaced(m: re.Match[str]) -> str:
@@ -123,9 +113,13 @@ def _starred(m: re.Match[str]) -> str:
 
 @lru_cache(maxsize=1)
 def _by_shape() -> dict[tuple[str, int], list[str]]:
+    """Words by first letter and length, insults and profanity before others."""
     shapes: dict[tuple[str, int], list[str]] = {}
-    for w in [*INSULTS, *SLURS, *PROFANE, *DEGRADING, *SEXUAL]:
-        shapes.setdefault((w[0], len(w)), []).append(w)
+    seen: set[str] = set()
+    for name in ("profane", "insult", "slur", "mean", "demean", "bare", "part", "act"):
+        for w in sorted(CLASSES[name] - seen):
+            shapes.setdefault((w[0], len(w)), []).append(w)
+        seen |= CLASSES[name]
     return shapes
 
 
@@ -146,7 +140,9 @@ def _coded(m: re.Match[str]) -> str:
 def plain_letters(text: str) -> str:
     """Lower case, without invisible characters, look-alikes as the Latin letters they imitate."""
     if not text.isascii():
-        text = unicodedata.normalize("NFC", text).translate(_TABLE)
+        text = unicodedata.normalize("NFC", text)
+        if _ODD.search(text):
+            text = text.translate(_TABLE)
     return text.lower()
 
 
@@ -162,306 +158,265 @@ def undisguised(low: str) -> str:
     return _STRETCHED.sub(_stretched, low)
 
 
-def _any(words: list[str]) -> str:
-    return r"(?<!\w)(?:" + "|".join(sorted(map(re.escape, words), key=len, reverse=True)) + r")(?!\w)"
-
-
-_NOUN, _ADJ, _GROUP, _BAD = _any(INSULTS), _any(SLURS), _any(GROUPS), _any(DEGRADING)
-_ADJS = r"(?:[\w'’-]+\s+){0,3}"
-
-# The voters. Each is (name, vote, pattern).
-VOTERS: list[tuple[str, int, str]] = [
-    ("called_a", 1, rf"\b(?:you|you're|u|your|thou)\s+(?:are\s+|'re\s+)?(?:an?\s+|such an?\s+|all\s+)?{_ADJS}{_NOUN}"),
-    ("what_a", 1, rf"\b(?:what an?|such an?|is an?|are|you)\s+{_ADJS}{_NOUN}(?!\s+file)"),
-    ("like_you", 1, rf"{_NOUN}\s+like\s+you|\ba\s+{_ADJS}{_NOUN}\s+(?:like you|and an?\s+{_NOUN})"),
-    ("slur_noun", 1, rf"{_ADJ}\s+(?:{_ADJ}\s+)?{_NOUN}"),
-    ("sack_of", 1, r"\b(?:sack|piece|bag|load) of (?:garbage|shit|crap|trash|filth)|\byou\s+(?:\w+\s+)?sack of\b"),
-    ("this_noun", 1, rf"\bthis\s+{_NOUN}\s+(?:from|here|cannot|can't)"),
-    ("off_with_you", 1, r"\bfuck(?:ing)? (?:off|you|yourself)|\bscrew you|\bget lost\b(?! (?:in|on|when|because|between|at|during|if)\b)|\bshut (?:your(?! (?:laptop|computer|window|door|browser)\b)|the fuck)|\byou fucking|\bgo to hell|\bcrawl back into|\bgo crawl"),
-    ("you_smell", 1, r"\byou smell\b|\byou are (?:ugly|disgusting|filthy|pathetic|worthless)|\bnobody here can stand you|\bashamed of having raised"),
-    ("harm_body", 1, r"\b(?:break|smash|punch|kick|bash|cut|slit|crush|rip) your\s+(?:\w+\s+)?(?:jaw|face|head|neck|teeth|legs|skull|throat|arms|bones)|\b(?:your face|your jaw) in\b|\bput you in the (?:hospital|ground|morgue|grave)"),
-    ("harm_wish", 1, r"\b(?:hope|wish) you (?:choke|die|rot|burn|get(?! (?:well|better|some|home|back|there|(?:an?|the|your|this) (?:job|chance|answer|position|promotion|rest|refund))\b))|\bnobody would miss you|\bdropped dead|\bshould never have been born|\bsee you (?:beaten|dead|hang|bleed)|\bkill you\b|\bkill yourself|\bdo us all a favou?r and\b|\bdrop dead\b"),
-    ("menace", 1, r"\bwatch your back\b|\baccidents happen\b|\bwait for you\b.*\bknife|\bknow where you (?:park|live|sleep|work)|\bnext time i will\b(?! (?:read|check|use|try|ask|know|bring|order|remember|call|write|test|be more)\b)|\bor i will (?:kill|hurt|break)|\bone day somebody will\b|\bkeep talking and\b"),
-    ("group_degraded", 1, rf"{_GROUP}(?:\s+[\w'’]+){{0,6}}?,?\s+(?:are|is|sind|sont|son|they are)\s+(?:[\w'’]+\s+){{0,4}}{_BAD}|{_GROUP}.*\bthey (?:are (?:vermin|filth|animals|rats)|breed)"),
-    ("group_stupid", 1, rf"(?:{_GROUP}|old people)(?:\s+\w+){{0,4}}\s+(?:are|is|sind|sont|son)\s+(?:too stupid|zu (?:blöd|dumm)|trop (?:bêtes|stupides|connes)|demasiado tont[ao]s)|\bit is in their blood"),
-    ("group_out", 1, r"\bkeep\b.*\bout of our\b|\bdriven out\b(?! (?:of|by|with|from) (?:the|its|an?) (?:punch|hole|bore|housing|hammer|shaft|press|pin|tool)\b)|\bround up\b.*\b(?:burn|shoot|deport)|\bburn their houses|\block up\b.*\bthrow away the key|\bdisappear from this country|\bno vote and no home|\bcame and infected|\bdecent folk must not mix|\bnever hire\b.*\bthey are|\bunderstand the whip|\bdeserve to be treated as human|\bbreed like\b"),
-    ("group_de_fr_es", 1, r"\b(?:müssen|gehören) weg\b|\bmüssen raus\b|\bgehören nicht zu den menschen|\bungeziefer\b|\bvermine\b|qu['’]ils dégagent|\bne méritent pas\b|\bces animaux\b|\b(?:una|la) plaga\b.*\becharlos|\bhay que echarlos|\bno merecen (?:vivir|ser)|\bdemasiado tontas\b|\bzu blöd für\b|\btrop (?:bêtes|stupides|connes) pour\b"),
-    ("abuse_de", 1, r"\b(?:du|dir|dich|dein|euch|ihr)\b.*" + _any([w for w in INSULTS if w in "idiot idiotin trottel vollidiot arschloch schwein drecksau miststück hurensohn hure schlampe depp vollpfosten wichser fotze missgeburt spast penner versager".split()]) + r"|\bverpiss dich|\bhalt (?:endlich )?(?:die fresse|dein maul|die klappe)|\bso ein (?:dummes |dummer |blödes )?" + _any("arschloch idiot trottel depp schwein".split())),
-    ("threat_de", 1, r"\bschlag(?:e)? dir\b|\bbring(?:e)? dich um|\bdir die (?:zähne|fresse|knochen)|\bmach(?:e)? dich (?:fertig|kalt)"),
-    ("abuse_fr", 1, r"\b(?:tu es|espèce d|t['’]es|vous êtes|quel|quelle|sale|pauvre)\b.*" + _any("con connard connasse salope pute ordure crétin crétine enculé abruti abrutie imbécile bâtard salaud débile bouffon idiot".split()) + r"|\bferme ta gueule|\bta gueule|\bva te faire"),
-    ("threat_fr", 1, r"\bje vais te (?:casser|tuer|crever|frapper|buter|démolir)|\bte casser la (?:figure|gueule)"),
-    ("abuse_es", 1, r"\b(?:eres|maldit[oa]|qué|pedazo de|vaya|tu)\b.*" + _any("idiota imbécil gilipollas cabrón cabrona puta puto estúpido estúpida inútil hijoputa pendejo pendeja zorra subnormal tarado tarada cretino capullo".split()) + r"|\bcállate\b|\bde mierda\b|\bvete a la mierda|\bhijo de puta"),
-    ("threat_es", 1, r"\bte voy a (?:partir|matar|romper|reventar|rajar)|\bpartir la cara"),
-    ("sex_ask", 1, r"\bsend (?:me )?(?:your )?(?:nudes|pics of your)|\bbend over for me|\bwant you naked|\bhorny (?:little )?\w+|\bto spank\b|\btouch yourself|\bhow wet you are|\blick every inch|\bwith nothing on\b|\bcome to my room\b|\bno strings\b(?! attached)"),
-    ("sex_scene", 1, r"\brough sex\b|\bthrust(?:ed)? into\b|\bbare breasts\b|\bbetween her thighs|\btore off her\b|\bhead down to his\b|\buntil (?:she|he|both|they) (?:climaxed|came(?! (?:back|home|to|in|out|up|down|over|across|along)\b))|\bhis cock\b|\bunzipped his\b(?! (?:bag|jacket|coat|tent|backpack|suitcase)\b)|\bmoaned as\b|\bhad ridden him\b"),
-    ("sex_trade", 1, r"\bhot naked\b|\bexplicit xxx\b|\bhardcore (?:porn|sex)|\bxxx (?:videos|pics)|\bnaked girls\b"),
-    ("sex_de_fr_es", 1, r"\bnacktbilder\b|\btrieben es\b|\bdie bluse auf\b|\bphotos de toi nue|\bbaisèrent\b|\barracha sa culotte|\bfotos (?:tuyas )?desnud[ao]|\bfollaron\b|\barrancó (?:las bragas|la ropa|la blusa)"),
-    ("policy", -1, r"\b(?:policy|bans|prohibits|moderation|must report|harassment|hate speech|guidelines?|richtlinie|verbietet|règlement|interdit|política|prohíbe|normas|reglamento)\b"),
-    ("clinical", -1, r"\b(?:the clinic offers|screening|contraception|patients?|vaccinated|health|santé|salud|gesundheit|consultation|consulta|therapy|diagnosis|mammogra\w+|untersuchung|dépistage|cribado)\b(?!.*\b(?:you|bitch|ridden)\b)"),
-    ("technical", -1, r"\b(?:connector|cable|kernel|process|thread|job|cylinder|footage|column|field|file|stock|spalte|feld|winkel|campo|columna|champ|colonne|strip line|insulated|cockpit|cocktail|assets|male and a? ?female)\b(?!.*\byou\b)"),
-    ("own_fault", -1, r"\b(?:of mine|my own|i forgot|i am such|i'm such|i was such|silly me|stupid me|ich bin so|von mir|je suis (?:trop|si|un|une)|j['’]ai été|soy (?:un|una|tan)|qué tont[ao] (?:soy|fui)|mea culpa|error mío|meine schuld|mon erreur|mío)\b"),
-    ("complaint", -1, r"\b(?:this|the) damn \w+ (?:crashed|failed|froze|broke|stopped|is)|\bterrible (?:update|service|release)|\bplease help\b|\bis slow\b|\bvery disappointed|\bne marche pas|\bfunktioniert nicht|\bno funciona\b"),
-    ("visitors", -1, r"\b(?:receive|may use|welcome|visitors|support(?:s|ed)? in|are entitled|offers? (?:advice|help)|erhalten|dürfen|reçoivent|peuvent|reciben|pueden)\b(?!.*\byou\b)"),
-    ("animals_named", -1, r"\b(?:pups|puppies|litter|breeder|shiitake|blue tit|great tit|counts are|veterinar\w+|welpen|chiots|cachorros)\b"),
-]
-
-
-@lru_cache(maxsize=1)
-def _compiled() -> list[re.Pattern[str]]:
-    return [re.compile(p) for *_, p in VOTERS]
-
-
-def votes(passage: str) -> list[int]:
-    return [v if p.search(passage) else 0 for (_, v, _), p in zip(VOTERS, _compiled(), strict=True)]
-
-
-#: A word's edge in an anchor; most strings that a part of a pattern is spelled out into.
-_EDGE, _SPELLED = "\0", 300
-
-
-def _spelled(node: tuple) -> set[str] | None:
-    """All strings that a part of a pattern matches, if they are few; white space is one space, as in passages."""
-    op, arg = str(node[0]), node[1]
-    if op == "LITERAL":
-        return {chr(arg)}
-    if op == "AT":
-        return {_EDGE if str(arg) == "AT_BOUNDARY" else ""}
-    if op in ("ASSERT", "ASSERT_NOT"):
-        return {_EDGE if op == "ASSERT_NOT" and [str(x) for x in arg[1]] == ["(IN, [(CATEGORY, CATEGORY_WORD)])"] else ""}
-    if op == "IN" and all(str(kind) == "LITERAL" for kind, _ in arg):
-        return {chr(c) for _, c in arg}
-    if op == "IN" and [str(x[1]) for x in arg] == ["CATEGORY_SPACE"]:
-        return {" "}
-    if op == "SUBPATTERN":
-        return _sequence(arg[3])[0]
-    if op == "BRANCH":
-        parts = [_sequence(x)[0] for x in arg[1]]
-        return None if any(x is None for x in parts) else set().union(*parts)
-    if op in ("MAX_REPEAT", "MIN_REPEAT"):
-        least, most, body = arg
-        once = _sequence(body)[0]
-        if once is None or not (once == {" "} and least == 1 or most == 1):
-            return None
-        return once | {""} if least == 0 else once
-    return None
-
-
-def _needed(node: tuple) -> set[str] | None:
-    """Strings of which every match of a part of a pattern holds one, if there are such."""
-    op, arg = str(node[0]), node[1]
-    if op == "SUBPATTERN":
-        return _sequence(arg[3])[1]
-    if op == "BRANCH":
-        parts = [_sequence(x)[1] for x in arg[1]]
-        return None if any(x is None for x in parts) else set().union(*parts)
-    if op in ("MAX_REPEAT", "MIN_REPEAT") and arg[0] > 0:
-        return _sequence(arg[2])[1]
-    return None
-
-
-def _sequence(nodes) -> tuple[set[str] | None, set[str] | None]:
-    """The two answers above for parts in a row; of the strings needed, the set whose shortest, edges
-    counted, is longest."""
-    runs: list[set[str] | None] = []
-    run, whole = {""}, True
-    for node in nodes:
-        spelled = _spelled(node)
-        if spelled is None or len(run) * len(spelled) > _SPELLED:
-            runs += [run, _needed(node)]
-            run, whole = spelled or {""}, False
-        else:
-            run = {a + b for a in run for b in spelled}
-    runs.append(run)
-    useful = [r for r in runs if r and all(x.strip(_EDGE + " ") for x in r)]
-    best = max(useful, key=lambda r: (min(len(x.strip(" ")) for x in r), -len(r)), default=None)
-    return (run if whole else None), best
-
-
-def anchors(pattern: str) -> set[tuple[str, bool, bool]]:
-    """(string, starts a word, ends a word): every match of ``pattern`` in a passage holds one of them."""
-    needed = _sequence(_parser.parse(pattern))[1]
-    if needed is None:
-        raise ValueError(f"no anchor in {pattern}")
-    out = set()
-    for x in needed:
-        plain = x.replace(_EDGE, "")
-        out.add((plain, x[0] == _EDGE and plain[0].isalnum(), x[-1] == _EDGE and plain[-1].isalnum()))
-    return out
-
-
-@lru_cache(maxsize=1)
-def _automaton():
-    """Strings with their readings (length, starts a word, ends a word, voter); the voter of a trigger is None."""
-    import ahocorasick
-
-    readings: dict[str, list[tuple[int, bool, bool, int | None]]] = {}
-    for w in TRIGGERS:
-        readings.setdefault(w, []).append((len(w), True, True, None))
-    for i, (_, vote, pattern) in enumerate(VOTERS):
-        for w, starts, ends in anchors(pattern) if vote > 0 else ():
-            readings.setdefault(w, []).append((len(w), starts, ends, i))
-    found = ahocorasick.Automaton()
-    for w, r in readings.items():
-        found.add_word(w, r)
-    found.make_automaton()
-    return found
-
-
-@lru_cache(maxsize=1)
-def _v_automaton():
-    import ahocorasick
-
-    found = ahocorasick.Automaton()
-    for w in _v_words():
-        found.add_word(w, [(len(w), True, True, None)])
-    found.make_automaton()
-    return found
-
-
-_BREAK = re.compile(r"[.!?…]+(?=\s|$)|[\r\n]+|\slol(?=\s)")
-
-
-_BLANKS = re.compile(r"[^\S\r\n ]|[^\S\r\n]{2,}")
-
-
-def _spots(low: str, automaton) -> Iterator[tuple[int, int | None]]:
-    """(end, voter) of the strings found, where their edges are as they must be."""
-    size = len(low)
-    for e, readings in automaton.iter(low):
-        for n, starts, ends, voter in readings:
-            if not (ends and e + 1 < size and low[e + 1].isalnum()) and not (starts and e >= n and low[e - n].isalnum()):
-                yield e, voter
-
-
-def _speaks(sentence: str) -> bool:
-    """Whether a sentence holds a trigger or a voter votes for it."""
-    voters = {v for _, v in _spots(sentence, _automaton())}
-    return None in voters or any(_compiled()[v].search(sentence) for v in voters)  # type: ignore[index]
-
-
-def passages(text: str) -> list[str]:
-    """The sentences that hold a word of the lexicons or match a pattern that votes for, undisguised; very long ones as windows
-    around the words."""
-    low = _BLANKS.sub(" ", plain_letters(text))
-    spots = {e for e, _ in _spots(low, _automaton())} | {m.start() + 1 for m in _SIGNS.finditer(low)}
-    if "v" in low:
-        spots |= {e for e, _ in _spots(low, _v_automaton())}
-    spots = sorted(spots)
-    if not spots:
-        return []
-    cuts = [0, *(m.end() for m in _BREAK.finditer(low)), len(low)]
-    out, last = [], -1
-    for spot in spots:
-        if spot < last:
-            continue
-        i = bisect_right(cuts, spot)
-        start, end = cuts[i - 1], cuts[i] if i < len(cuts) else len(low)
-        if end - start > MAX_PASSAGE:
-            start, end = max(start, spot - MAX_PASSAGE // 2, last), min(end, spot + MAX_PASSAGE // 2)
-        last = end
-        sentence = undisguised(" ".join(low[start:end].split()))
-        if _speaks(sentence):
-            out.append(sentence)
-    return out
-
-
+_WRAP = re.compile(r"\n(?<=[^\W\d_]\n|[,;’']\n)[ \t]*(?=[a-zß-öø-ÿ])")
+_BREAK = re.compile(r"[.!?…\r\n](?:(?<=[\r\n])[\r\n]*|[.!?…]*(?=\s|$))")
 _WORDS = re.compile(r"[^\W\d_]+")
 
 
-def features(passage: str) -> list[int]:
-    """Hashed words and word pairs, and the voters that spoke."""
-    words = _WORDS.findall(passage)
-    keys = [*words, *(f"{a} {b}" for a, b in zip(words, words[1:], strict=False)), *(f"#{n}" for (n, *_), v in zip(VOTERS, votes(passage), strict=True) if v)]
-    return sorted({crc32(k.encode()) % FEATURES for k in keys})
-
+def sentences(text: str) -> list[str]:
+    """The sentences of a text in plain letters, white space collapsed; very long ones as overlapping windows. A single line end
+    within a sentence is white space."""
+    if "\n" in text:
+        text = _WRAP.sub(" ", text.replace("\r\n", "\n"))
+    low = plain_letters(text).replace(" lol ", " lol. ")
+    out, start = [], 0
+    for end in [*(m.end() for m in _BREAK.finditer(low)), len(low)]:
+        s = " ".join(low[start:end].split())
+        start = end
+        if len(s) > MAX_SENTENCE:
+            out += [s[i : i + MAX_SENTENCE] for i in range(0, len(s) - MAX_SENTENCE // 2, MAX_SENTENCE // 2)]
+        elif len(s) > 2:
+            out.append(s)
+    return out
 
-def fit_label_model(matrix: np.ndarray, rounds: int = 30) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Posterior probability of each row of votes (-1, 0, 1), each voter's accuracy, and its discount for correlation.
 
-    Rows on which no voter speaks say nothing about the voters; their posterior is the share of such rows that is taken to
-    be positive, a small constant."""
+_ODD_BIT, _LETTER_BIT = 62, 61
+
+
+class _Words(dict):
+    """Word -> place in ``numbers`` and ``masks``, computed once per word. A mask has a bit for each class of the word, for a
+    word that is stretched or written with v for u, and for a letter that stands alone."""
+
+    def __init__(self):
+        super().__init__()
+        self.numbers, self.masks = np.zeros(1 << 16, dtype=np.uint64), np.zeros(1 << 16, dtype=np.uint64)
+
+    def __missing__(self, word: str) -> int:
+        i = len(self)
+        if i == len(self.numbers):
+            self.numbers, self.masks = np.concatenate([self.numbers, self.numbers]), np.concatenate([self.masks, self.masks])
+        mask = word_masks().get(word, 0)
+        if len(word) == 1:
+            mask |= 1 << _LETTER_BIT
+        elif word in _v_words() or _STRETCHED.fullmatch(word):
+            mask |= 1 << _ODD_BIT
+        self.numbers[i], self.masks[i] = crc32(word.encode()), mask
+        self[word] = i
+        return i
+
+
+_seen = _Words()
+#: Classes of words that are seldom used without offence.
+CHARGED = ("insult", "slur", "profane", "smell", "bare")
+_CLASS_AT, _VOTER_AT, _PAIR_AT = np.uint64(0x51ED270B), np.uint64(0x9E3779B1), np.uint64(0x85EBCA77)
+
+
+def _slots(x: np.ndarray) -> np.ndarray:
+    x = x * np.uint64(0x9E3779B97F4A7C15)
+    return (x >> np.uint64(47)).astype(np.int64)  # FEATURES is 2 ** 17
+
+
+def _tokenised(held: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Per sentence its number of words; per word its number and mask."""
+    if len(_seen) > 2_000_000:
+        _seen.clear()
+    words = [_WORDS.findall(s) for s in held]
+    size = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+    at = np.fromiter(map(_seen.__getitem__, chain.from_iterable(words)), dtype=np.int64, count=int(size.sum()))
+    return size, _seen.numbers[at], _seen.masks[at]
+
+
+def _disguised(held: list[str], size: np.ndarray, mask: np.ndarray) -> list[int]:
+    """The sentences that show a sign of a disguise."""
+    who = np.repeat(np.arange(len(held)), size)
+    odd = set(who[(mask >> np.uint64(_ODD_BIT) & np.uint64(1)) == 1].tolist())
+    alone = (mask >> np.uint64(_LETTER_BIT) & np.uint64(1)) == 1
+    run = alone[2:] & alone[1:-1] & alone[:-2] & (who[2:] == who[:-2]) if len(who) > 2 else np.zeros(0, dtype=bool)
+    odd |= set(who[2:][run].tolist())
+    odd |= {i for i, s in enumerate(held) if _SIGNS.search(s)}
+    return sorted(odd)
+
+
+def featured(held: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Features of sentences as (sentence, slot) pairs, and the votes as (sentence, voter) pairs; disguised sentences are read plainly.
+
+    A voter is tried only where the sentence holds every class that it names, and voters against only where one votes for or the
+    sentence holds a word of a CHARGED class."""
+    size, number, mask = _tokenised(held)
+    odd = _disguised(held, size, mask)
+    if odd:
+        held = list(held)
+        for i in odd:
+            held[i] = undisguised(held[i])
+        size, number, mask = _tokenised(held)
+    who = np.repeat(np.arange(len(held)), size)
+    held_by = np.zeros(len(held), dtype=np.uint64)
+    full = np.flatnonzero(size)
+    if len(full):
+        held_by[full] = np.bitwise_or.reduceat(mask, (np.cumsum(size) - size)[full])
+    together = np.flatnonzero(who[1:] == who[:-1]) if len(who) else np.zeros(0, np.int64)
+    pair = (number[together] * np.uint64(31) + number[together + 1]) ^ _PAIR_AT
+    rows, slots = [who, who[together]], [_slots(number), _slots(pair)]
+    for bit in BIT.values():
+        at = np.flatnonzero(held_by >> np.uint64(bit) & np.uint64(1))
+        rows.append(at)
+        slots.append(np.broadcast_to(_slots(np.array([bit], dtype=np.uint64) ^ _CLASS_AT), at.shape))
+    spoke: list[tuple[int, int]] = []
+    tried = np.arange(len(held))
+    for j, (voter, gate, pattern) in enumerate(zip(VOTERS, gates(), compiled(), strict=True)):
+        if voter.vote < 0 and VOTERS[j - 1].vote > 0:
+            charged = np.flatnonzero(held_by & np.uint64(sum(1 << BIT[n] for n in CHARGED)))
+            tried = np.unique(np.concatenate([charged, np.array([i for i, _ in spoke], dtype=np.int64)]))
+        need = np.uint64(gate)
+        spoke += [(i, j) for i in tried[(held_by[tried] & need) == need].tolist() if pattern.search(held[i])]
+    voted = np.array(spoke, dtype=np.int64).reshape(-1, 2)
+    rows.append(np.repeat(voted[:, 0], VOTE_COUNTS))
+    slots.append(np.repeat(_slots(voted[:, 1].astype(np.uint64) ^ _VOTER_AT), VOTE_COUNTS))
+    return np.concatenate(rows), np.concatenate(slots), voted
+
+
+def fit_label_model(matrix: np.ndarray, rounds: int = 30) -> tuple[np.ndarray, np.ndarray, dict[int, int]]:
+    """Posterior probability of each row of votes (-1, 0, 1), each voter's accuracy, and each dependent voter's parent.
+
+    Voters may depend on one another given the label: in every round the conditional dependencies of voters that vote alike are estimated and
+    the strongest, as far as they exceed chance, form a forest. The weight of a voter whose parent votes too is estimated from the
+    rows on which both vote. Rows for which no voter speaks say nothing about the voters; their posterior is UNHEARD."""
     m = matrix.shape[1]
-    heard = (matrix != 0).any(axis=1)
-    votes_, spoke = matrix[heard], matrix[heard] != 0
+    heard = (matrix > 0).any(axis=1)
+    votes_, spoke = matrix[heard], (matrix[heard] != 0).astype(np.float64)
     n = len(votes_)
-    accuracy, discount = np.full(m, 0.85), np.ones(m)
-    prior = float(np.clip(((votes_.sum(axis=1) > 0).sum() + 1) / (n + 2), 0.05, 0.5))
+    accuracy, parent = np.full(m, 0.85), {}
+    pair_weight: dict[int, float] = {}
+    prior = float(np.clip(((votes_.sum(axis=1) > 0).sum() + 1) / (n + 2), 0.3, 0.7))
     posterior = np.full(n, prior)
-    for _ in range(rounds):
-        weight = discount * np.log(accuracy / (1 - accuracy))
+    counts = spoke.T @ spoke
+    sign = np.where((votes_ > 0).any(axis=0), 1.0, -1.0)
+    for turn in range(rounds):
+        weight = np.log(accuracy / (1 - accuracy))
         logit = np.log(prior / (1 - prior)) + votes_ @ weight
+        for j, p in parent.items():
+            logit += (spoke[:, j] * spoke[:, p]) * (sign[j] * (pair_weight[j] - weight[j]))
         posterior = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
         right = np.where(votes_ > 0, posterior[:, None], 1 - posterior[:, None]) * spoke
-        accuracy = np.clip((right.sum(axis=0) + 8.5) / (spoke.sum(axis=0) + 10), 0.65, 0.98)
-        prior = float(np.clip((posterior.sum() + 5) / (n + 10), 0.05, 0.5))
-        # voters whose errors coincide say less together than apart
-        wrong = spoke - right
-        centred = (wrong - wrong.sum(axis=0) / np.maximum(spoke.sum(axis=0), 1)) * spoke
-        spread = np.sqrt((centred**2).sum(axis=0))
-        together = (centred.T @ centred) / np.maximum(np.outer(spread, spread), 1e-9)
-        np.fill_diagonal(together, 0)
-        discount = 1 / (1 + np.clip(together, 0, 1).max(axis=0, initial=0))
+        accuracy = np.clip((right.sum(axis=0) + 6.8) / (spoke.sum(axis=0) + 8), 0.55, 0.99)
+        prior = float(np.clip((posterior.sum() + 5) / (n + 10), 0.3, 0.7))
+        if turn < 3:
+            continue
+        # how much more often two voters of one sign vote together than they would if independent given the label
+        by_class = [(posterior, spoke.T @ (spoke * posterior[:, None])), (1 - posterior, spoke.T @ (spoke * (1 - posterior)[:, None]))]
+        expected = sum(np.outer(spoke.T @ q, spoke.T @ q) / max(q.sum(), 1e-9) for q, _ in by_class)
+        excess = (counts - expected) / np.sqrt(expected + 1)
+        excess[np.outer(sign, sign) < 0] = 0
+        parent, tree = {}, list(range(m))
+
+        def root(x: int) -> int:
+            while tree[x] != x:
+                x = tree[x]
+            return x
+
+        for flat in np.argsort(-excess, axis=None)[: m * m]:
+            a, b = divmod(int(flat), m)
+            if excess[a, b] < 3 or a >= b:
+                if excess[a, b] < 3:
+                    break
+                continue
+            child, other = (a, b) if spoke[:, a].sum() <= spoke[:, b].sum() else (b, a)
+            if child in parent:
+                child, other = other, child
+            if child not in parent and root(child) != root(other):
+                parent[child] = other
+                tree[root(child)] = root(other)
+        for j, p in parent.items():
+            both = spoke[:, j] * spoke[:, p]
+            share = (float((right[:, j] * both).sum()) + 6.8) / (float(both.sum()) + 8)
+            share = float(np.clip(share, 0.55, 0.99))
+            # what both say together, less what the parent says, and never more than the voter says alone
+            pair_weight[j] = float(np.clip(np.log(share / (1 - share)) - np.log(accuracy[p] / (1 - accuracy[p])), 0.1, np.log(accuracy[j] / (1 - accuracy[j]))))
     out = np.full(len(matrix), UNHEARD)
     out[heard] = posterior
-    return out, accuracy, discount
-
-
-def fit_classifier(rows: list[list[int]], labels: np.ndarray, rounds: int = 60, l2: float = 1e-3, rate: float = 0.5) -> tuple[np.ndarray, float]:
-    """Logistic regression on posterior labels by full-batch adaptive gradient steps."""
-    who = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    what = np.concatenate([np.array(r, dtype=np.int64) for r in rows]) if rows else np.zeros(0, np.int64)
-    scale = 1 / np.sqrt(np.maximum([len(r) for r in rows], 1))
-    weights, bias, seen, seen_b = np.zeros(FEATURES), 0.0, np.full(FEATURES, 1e-8), 1e-8
+    return out, accuracy, parent
+
+
+def fit_classifier(n: int, who: np.ndarray, what: np.ndarray, labels: np.ndarray, weight: np.ndarray, rounds: int = 200, l2: float = 1.0, rate: float = 0.5) -> tuple[np.ndarray, float]:
+    """Logistic regression of ``n`` weighted rows on soft labels by full-batch adaptive gradient steps."""
+    scale = 1 / np.sqrt(np.maximum(np.bincount(who, minlength=n), 1))
+    likely = labels > 0.5
+    if likely.any():
+        weight = np.where(likely, weight * max(1.0, POSITIVE_SHARE / (1 - POSITIVE_SHARE) * (weight[~likely].sum() + PRIOR_ROWS) / weight[likely].sum()), weight)
+    weights, seen, seen_b = np.zeros(FEATURES), np.full(FEATURES, 1e-8), 1e-8
+    total = max(weight.sum(), 1.0)
+    bias = float(np.log(UNHEARD / (1 - UNHEARD)))
     for _ in range(rounds):
-        z = np.bincount(who, weights[what], len(rows)) * scale + bias
-        error = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels) / max(len(rows), 1)
-        grad = np.bincount(what, (error * scale)[who], FEATURES) + l2 * weights / max(len(rows), 1)
+        z = np.bincount(who, weights[what], n) * scale + bias
+        error = weight * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels) / total
+        grad = np.bincount(what, (error * scale)[who], FEATURES) + l2 * weights / total
+        grad_b = error.sum() + PRIOR_ROWS * (1 / (1 + np.exp(-bias)) - UNHEARD) / total
         seen += grad**2
-        seen_b += error.sum() ** 2
+        seen_b += grad_b**2
         weights -= rate * grad / np.sqrt(seen)
-        bias -= rate * error.sum() / np.sqrt(seen_b)
+        bias -= rate * grad_b / np.sqrt(seen_b)
     return weights, bias
 
 
-def scored_documents(documents: DataFrame) -> DataFrame:
-    """(doc_id, score) of the documents that hold any passage; all others have score 0."""
+def fit(held: list[str], weight: np.ndarray | None = None) -> tuple[np.ndarray, float]:
+    """The classifier's weights and bias, from sentences without labels."""
+    who, what, voted = featured(held)
+    matrix = np.zeros((len(held), len(VOTERS)))
+    matrix[voted[:, 0], voted[:, 1]] = np.array([v.vote for v in VOTERS])[voted[:, 1]]
+    posterior, *_ = fit_label_model(matrix)
+    return fit_classifier(len(held), who, what, posterior, np.ones(len(held)) if weight is None else weight)
 
-    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, held = [], []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if text:
-                    found = passages(text)
-                    ids += [doc] * len(found)
-                    held += found
-            yield pa.RecordBatch.from_arrays([pa.array(ids, batch.schema.field(0).type), pa.array(held, pa.string())], names=["doc_id", "passage"])
 
-    kind = documents.schema["doc_id"].dataType.simpleString()
-    found = cut_lineage(documents.where("doc_id is not null and text is not null").select("doc_id", "text").mapInArrow(find, f"doc_id {kind}, passage string"))
-    n = found.count()
-    share = min(1.0, 0.95 * FIT_PASSAGES / max(n, 1))
-    drawn = found.where(F.pmod(F.xxhash64("doc_id", "passage"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).select("passage").limit(FIT_PASSAGES)
-    sample = sorted(r["passage"] for r in drawn.collect())
-    posterior, *_ = fit_label_model(np.array([votes(p) for p in sample], dtype=np.float64).reshape(len(sample), len(VOTERS)))
-    weights, bias = fit_classifier([features(p) for p in sample], posterior)
+def score_sentences(held: list[str], weights: np.ndarray, bias: float) -> np.ndarray:
+    who, what, _ = featured(held)
+    n = np.maximum(np.bincount(who, minlength=len(held)), 1)
+    return 1 / (1 + np.exp(-(np.bincount(who, weights[what], len(held)) / np.sqrt(n) + bias)))
+
+
+def _training_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(sentence, heard): sentences on which a voter speaks, and one in QUIET_EVERY of the others by hash."""
+    for batch in batches:
+        held = [s for t in batch.column(0).to_pylist() for s in set(sentences(t))]
+        *_, voted = featured(held)
+        heard = np.zeros(len(held), dtype=bool)
+        heard[voted[:, 0]] = True
+        kept = [i for i, s in enumerate(held) if heard[i] or crc32(s.encode()) % QUIET_EVERY == 0]
+        yield pa.RecordBatch.from_arrays([pa.array([held[i] for i in kept], pa.string()), pa.array(heard[kept], pa.bool_())], names=["sentence", "heard"])
+
+
+def scored_documents(documents: DataFrame) -> DataFrame:
+    """(doc_id, score) of the documents that hold a sentence; all others have score 0."""
+    usable = documents.where("doc_id is not null and text is not null").select("doc_id", "text")
+    n = usable.count()
+    share = min(1.0, FIT_DOCUMENTS / max(n, 1))
+    drawn = usable.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) <= int(share * (1 << 20))).select("text")
+    # bounded by FIT_DOCUMENTS; equal sentences count once
+    table = drawn.mapInArrow(_training_rows, "sentence string, heard boolean").distinct().toArrow()
+    rows = sorted(zip(table.column("sentence").to_pylist(), table.column("heard").to_pylist(), strict=True))
+    weights, bias = fit([s for s, _ in rows], np.array([1.0 if h else float(QUIET_EVERY) / 4 for _, h in rows]))
     shared = documents.sparkSession.sparkContext.broadcast((weights.astype(np.float32), bias))  # FEATURES numbers
+    kind = documents.schema["doc_id"].dataType.simpleString()
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        w, b = shared.value
         for batch in batches:
-            w, b = shared.value
-            z = []
-            for p in batch.column(1).to_pylist():
-                f = features(p)
-                z.append(float(w[f].sum()) / max(len(f), 1) ** 0.5 + b)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(1 / (1 + np.exp(-np.array(z, dtype=np.float64))), pa.float64())], names=["doc_id", "score"])
+            for lo in range(0, batch.num_rows, 500):
+                piece = batch.slice(lo, 500)
+                split = [sentences(t) for t in piece.column(1).to_pylist()]
+                held = [s for x in split for s in x]
+                sizes = np.fromiter(map(len, split), dtype=np.int64, count=len(split))
+                worst, full = np.zeros(len(split)), np.flatnonzero(sizes)
+                if len(full):
+                    worst[full] = np.maximum.reduceat(score_sentences(held, w, b), (np.cumsum(sizes) - sizes)[full])
+                yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(worst, pa.float64())], names=["doc_id", "score"])
 
-    return found.mapInArrow(score, f"doc_id {kind}, score double").groupBy("doc_id").agg(F.max("score").alias("score"))
+    return usable.mapInArrow(score, f"doc_id {kind}, score double").groupBy("doc_id").agg(F.max("score").alias("score"))
 
 
 def score_documents(documents: DataFrame) -> DataFrame:
     """One row per document: (doc_id, source, score double, flagged boolean).
 
-    Documents without a doc_id take no part; null, empty and harmless texts score 0; repeated rows of a doc_id count once, with
+    Documents without a doc_id take no part; null, empty and wordless texts score 0; repeated rows of a doc_id count once, with
     their worst score. An empty table gives an empty result."""
     every = documents.where("doc_id is not null").groupBy("doc_id").agg(F.min(canonical_source(F.col("source"))).alias("source"))
     joined = every.join(scored_documents(documents), "doc_id", "left")
