@@ -3,8 +3,8 @@
 Fields (stamps, labels, hesitations, sound annotations) are taken out of the text with SQL expressions, speakers of
 words are forward-filled by windows, marked noise is removed, and consecutive pieces of one speaker are
 aggregated by gaps-and-islands identifiers. Windows over a recording have two levels (see ``runtime.carry``): rows
-are sorted within five-minute shards, and shards hand their last speaker on, so a recording that holds a
-third of all rows is spread over its shards.
+are sorted within five-minute shards (speech without any time by ranges of its ids), and shards hand their last speaker on, so a
+recording that holds a third of all rows is spread over its shards. The pieces are written once, and all windows read them there.
 """
 
 from __future__ import annotations
@@ -14,9 +14,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quern.operators.latest import latest_rows
-from quern.runtime import carry
+from quern.runtime import carry, cut_lineage
 
-SHARD_S = 300.0
+SHARD_S, SHARD_IDS = 300.0, 1000
 #: Where no time is known at all, speech comes last in its recording.
 LAST_S = 1e9
 
@@ -63,6 +63,17 @@ def has_speech(c: Column) -> Column:
     return F.coalesce(c.rlike(r"[\p{L}\p{N}]"), F.lit(False))
 
 
+#: A word of letters and digits with punctuation behind it, which holds nothing to take out unless it is a hesitation.
+PLAIN_WORD = r"^[\p{L}\p{N}]+(?:['’-][\p{L}\p{N}]+)*[.,;:!?…]*$"
+#: Letters of which all hesitations consist; other words need no further look.
+NO_HESITATION = r"(?iU)[^uhermaäöo.,…!?]"
+
+
+def word_speaks(c: Column) -> Column:
+    """Whether a word is more than noise: what :func:`clean_text` leaves of it holds a letter or digit."""
+    return F.when(c.rlike(PLAIN_WORD) & c.rlike(NO_HESITATION), F.lit(True)).otherwise(has_speech(clean_text(c)))
+
+
 def speech_pieces(utterances: DataFrame, words: DataFrame) -> DataFrame:
     """One row per stretch of an utterance by one speaker that holds speech:
     (document_id, utterance_id, first_pos, start_sec, end_sec, speaker, text)."""
@@ -74,7 +85,7 @@ def speech_pieces(utterances: DataFrame, words: DataFrame) -> DataFrame:
     once = known.groupBy("document_id", "utterance_id", "pos").agg(F.max(F.struct(*cols)).alias("w")).select("document_id", "utterance_id", "pos", "w.*")
     spoken = once.where("coalesce(type, 'word') <> 'spacing'").withColumn("label", speaker_label(F.col("speaker")))
     shown = F.coalesce("punctuated_word", "word")
-    noise = (F.coalesce("type", F.lit("word")) == "audio_event") | ~has_speech(clean_text(shown))
+    noise = (F.coalesce("type", F.lit("word")) == "audio_event") | ~word_speaks(shown)
     order = Window.partitionBy("document_id", "utterance_id").orderBy("pos")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     spoken = spoken.withColumn("turned", F.coalesce(F.col("label") != F.last("label", True).over(before), F.lit(False)).cast("int"))
@@ -101,7 +112,8 @@ def speech_pieces(utterances: DataFrame, words: DataFrame) -> DataFrame:
 
 def _marked(pieces: DataFrame) -> tuple[DataFrame, list[str]]:
     order = ["start_sec", "utterance_id", "first_pos"]
-    shards = pieces.withColumn("shard", F.floor(F.col("start_sec") / SHARD_S))
+    timed = F.col("start_sec") < LAST_S
+    shards = pieces.withColumn("shard", F.struct((~timed).alias("last"), F.when(timed, F.floor(F.col("start_sec") / SHARD_S)).otherwise(F.floor(F.col("utterance_id") / SHARD_IDS)).alias("at")))
     back = carry(shards, ["document_id"], "shard", order, "speaker", "previous", inclusive=False)
     return back.withColumn("opens", F.coalesce(F.col("speaker") != F.col("previous"), F.lit(True))), order
 
@@ -112,18 +124,20 @@ def turn_starts(utterances: DataFrame, words: DataFrame) -> DataFrame:
     Rows without document_id or utterance_id take no part; of repeated rows the latest counts once; utterances
     without any speech neither start nor break a turn; without any known time they come last; without any label
     the speaker is ``unknown``. Empty tables give an empty result; further columns aren't read."""
-    marked, _ = _marked(speech_pieces(utterances, words))
+    marked, _ = _marked(cut_lineage(speech_pieces(utterances, words).drop("text", "end_sec")))
     return marked.where("opens").select("document_id", F.col("utterance_id").alias("first_utterance_id"), "first_pos", "speaker")
 
 
 def turn_texts(utterances: DataFrame, words: DataFrame) -> DataFrame:
-    """The turns with their text, one row per turn and five-minute shard that it touches:
+    """The turns with their text, one row per turn and shard that it touches; ``part`` counts a turn's rows in order:
     (document_id, first_utterance_id, first_pos, part, speaker, start_sec, end_sec, n_pieces, text).
 
     A turn is thus whole in its rows' order, and no turn, however long, is gathered in one task."""
-    marked, order = _marked(speech_pieces(utterances, words))
-    marked = marked.withColumn("own", F.when(F.col("opens"), F.struct("utterance_id", "first_pos"))).drop("previous")
+    marked, order = _marked(cut_lineage(speech_pieces(utterances, words)))
+    marked = cut_lineage(marked).withColumn("own", F.when(F.col("opens"), F.struct("utterance_id", "first_pos"))).drop("previous")
     turns = carry(marked, ["document_id"], "shard", order, "own", "turn", inclusive=True)
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*order, "text"))), lambda x: x["text"]), " ")
-    keys = [F.col("document_id"), F.col("turn.utterance_id").alias("first_utterance_id"), F.col("turn.first_pos").alias("first_pos"), F.col("shard").alias("part"), F.col("speaker")]
-    return turns.groupBy(*keys).agg(F.min("start_sec").alias("start_sec"), F.max("end_sec").alias("end_sec"), F.count(F.lit(1)).alias("n_pieces"), text.alias("text"))
+    keys = [F.col("document_id"), F.col("turn.utterance_id").alias("first_utterance_id"), F.col("turn.first_pos").alias("first_pos"), F.col("shard"), F.col("speaker")]
+    rows = turns.groupBy(*keys).agg(F.min("start_sec").alias("start_sec"), F.max("end_sec").alias("end_sec"), F.count(F.lit(1)).alias("n_pieces"), text.alias("text"))
+    w = Window.partitionBy("document_id", "first_utterance_id", "first_pos").orderBy("shard")  # one row per shard
+    return rows.select("document_id", "first_utterance_id", "first_pos", F.row_number().over(w).alias("part"), "speaker", "start_sec", "end_sec", "n_pieces", "text")

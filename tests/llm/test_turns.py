@@ -64,6 +64,18 @@ def test_turns_cross_shards(spark):
     assert " ".join(r.text for r in texts if r.first_utterance_id == 0) == " ".join(f"w{i}" for i in range(9))
 
 
+def test_speech_without_times_is_spread_and_ordered(spark):
+    u = [("d", i, f"w{i}", None, None, "1" if i < 1500 else "2") for i in (-2500, -1, 0, 1, 1499, 1500, 9000)] + [("d", 7, "first", 4.0, 5.0, "9")]
+    assert starts(spark, u) == {("d", 7, 0, "9"), ("d", -2500, 0, "1"), ("d", 1500, 0, "2")}
+    texts = t.turn_texts(utterances(spark, u), words(spark, [])).where("first_utterance_id = -2500").orderBy("part").collect()
+    assert [r.part for r in texts] == [1, 2, 3, 4] and " ".join(r.text for r in texts) == "w-2500 w-1 w0 w1 w1499"
+
+
+def test_words_that_speak(spark):
+    df = spark.createDataFrame([(x,) for x in ("hello", "um", "Uh,", "[laughter]", "don't", "00:12", "A.", "...", "mhm", "hour", None)], "s string")
+    assert [bool(r[0]) for r in df.select(t.word_speaks(F.col("s"))).collect()] == [bool(r[0]) for r in df.select(t.has_speech(t.clean_text(F.col("s")))).collect()]
+
+
 def test_long_text_and_empty_tables(spark):
     assert starts(spark, [("d", 1, "word " * 50_000, 0.0, 1.0, "1")]) == {("d", 1, 0, "1")}
     assert starts(spark, []) == set()
