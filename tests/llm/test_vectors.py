@@ -58,10 +58,29 @@ def test_every_query_meets_all(spark, monkeypatch):
 
 def test_bounds_hold():
     m = unit(np.random.default_rng(2).standard_normal((400, 96))).astype(np.float32)
-    rotate = v.rotation(96)
-    centre = m.mean(axis=0)
-    est, bound = v.estimate(m[:100], *v.one_bit_codes(m, centre, rotate), centre, rotate)
-    assert (np.abs(est - m[:100] @ m.T) <= bound).mean() > 0.99
+    rotate, centre = v.rotation(96), m.mean(axis=0)
+    codes, fine, facts = v.base_codes(m, centre, rotate)
+    planes, asks = v.query_codes(m[:100], centre, rotate)
+    squared = float(centre @ centre)
+    est, bound = v.estimate(planes, asks, codes, facts, 96, squared)
+    exact = m[:100] @ m.T
+    assert (np.abs(est - exact) <= bound).mean() > 0.99
+    i, j = np.nonzero(np.ones_like(exact))
+    finer, tight = v.refine(planes, asks, fine, facts, i, j, 96, squared)
+    assert (np.abs(finer - exact[i, j]) <= tight).mean() > 0.99 and tight.mean() < bound.mean() / 3
+
+
+def test_recall_without_a_floor(spark):
+    m = clustered(1500, 32, 7)
+    got = {(int(r.id[1:]), int(r.neighbour[1:])) for r in v.similar_vectors(frame(spark, [(f"c{i:05d}", x) for i, x in enumerate(m)]), "chunk_id", "embedding", 32, 5, -1.0).collect()}
+    want = brute(m, 5, -1)
+    assert len(got) == len(want) == 7500 and len(got & want) / len(want) >= 0.9
+
+
+def test_an_id_with_several_vectors_counts_with_the_greatest(spark):
+    pairs = [("a", [1.0, 0, 0, 0]), ("a", [0, 1.0, 0, 0]), ("b", [0.99, 0.1, 0, 0]), ("c", [0.01, 1.0, 0, 0])]
+    got = {(r.id, r.neighbour) for r in v.similar_vectors(frame(spark, pairs), "chunk_id", "embedding", 4, 3, 0.8).collect()}
+    assert got == {("a", "b"), ("b", "a")}
 
 
 def test_unusable_copies_and_ties(spark):
