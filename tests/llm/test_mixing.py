@@ -1,4 +1,7 @@
 import random
+from itertools import combinations
+
+import pytest
 
 from pyspark.sql import functions as F
 
@@ -49,6 +52,29 @@ def test_cases(spark):
         assert m.mix_sources(*frames(spark, docs_, targets)).count() == 0
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_nearest_subset_against_brute_force(seed):
+    rng = random.Random(seed)
+    sizes, wanted = [rng.randint(1, 400) for _ in range(9)], [rng.random() < 0.5 for _ in range(9)]
+    target = rng.uniform(0, 1500)
+    best = min(abs(sum(c) - target) for n in range(10) for c in combinations(sizes, n))
+    assert abs(sum(sizes[i] for i in m.nearest_subset(sizes, wanted, target)) - target) == pytest.approx(best)
+
+
+def test_few_documents_come_as_near_as_any_choice(spark):
+    sizes = {"few": [120, 174, 239, 736, 90], "one": [2000], "two": [700, 541]}
+    docs = [(100 * i + j, "word " * n, s) for i, (s, ns) in enumerate(sizes.items()) for j, n in enumerate(ns)] + [(1000 + i, "word " * 40, "big") for i in range(200)]
+    d, t = frames(spark, docs, [("few", 0.1, 1), ("one", 0.05, 1), ("two", 0.05, 1), ("big", 0.8, 1)])
+    sel = m.mix_sources(d, t)
+    counts = {r.doc_id: r.n_tokens for r in m.with_token_counts(d, ["doc_id"], "text").collect()}
+    budget = min(sum(counts[x[0]] for x in docs if x[2] == s) / share for s, share in (("few", 0.1), ("one", 0.05), ("two", 0.05), ("big", 0.8)))
+    got = {r.source: r.t for r in sel.groupBy("source").agg(F.sum("n_tokens").alias("t")).collect()}
+    for s, share in (("few", 0.1), ("one", 0.05), ("two", 0.05)):
+        mine = [counts[x[0]] for x in docs if x[2] == s]
+        best = min(abs(sum(c) - budget * share) for n in range(len(mine) + 1) for c in combinations(mine, n))
+        assert abs(got.get(s, 0) - budget * share) == pytest.approx(best, abs=1e-6), s
+
+
 def test_large_documents_do_not_spoil_shares(spark):
     docs = corpus() + [(9000, "word " * 60_000, "big_source"), (9001, "word " * 20_000, "small")]
     d, t = frames(spark, docs, [("big_source", 0.6, 1), ("small", 0.1, 1), ("mid", 0.3, 1)])
