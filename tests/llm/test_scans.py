@@ -50,13 +50,41 @@ def lexicon():
 def test_joint_segmentation():
     lex = lexicon()
     assert s.decode(["the pres sure was"], lex)[0] == [["the", "pressure", "was"]]
-    assert s.decode(["valvegasket was"], lex)[0] == [["valve gasket", "was"]]
+    assert s.decode(["valvegasket was"], lex)[0] == [["valve", "gasket", "was"]]
     words, hyphenated, misread = s.decode(["the tempe¬", "rafure was"], lex)
     assert words == [["the", "temperature"], ["was"]] and hyphenated and misread
     assert s.decode(["long-", "term"], lex) == ([["long-term"], []], False, False)
     assert s.decode(["Va|ve! the"], lex)[0] == [["Valve!", "the"]]
 
 
+def test_any_number_of_merges_and_splits():
+    lex = s.Lexicon({w: 100 for w in [*WORDS, "approved", "budget", "council", "pro", "member"]} | {"was": 2000, "of": 4000, "the": 5000}, {})
+    assert s.decode(["was ap pro ved by"], lex)[0] == [["was", "approved", "by"]]
+    assert s.decode(["the budgetwasapproved"], lex)[0] == [["the", "budget", "was", "approved"]]
+    assert s.decode(["table ofthe meter"], lex)[0] == [["table", "of", "the", "meter"]]
+    assert s.decode(["the coun cil-", "of"], lex)[0][0][:2] == ["the", "council"]
+    assert s.decode(["the bud-", "g et was"], lex) == ([["the", "budget"], ["was"]], True, False)
+    assert s.decode(["Morroline TU-3665 Ostrava"], lex)[0] == [["Morroline", "TU-3665", "Ostrava"]]
+
+
+def test_costs_follow_the_pages():
+    costs = s.confusion_costs({("rn", "m"): 900, ("1", "l"): 90})
+    assert costs["rn", "m"] < costs["1", "l"] < costs["vv", "w"] <= 8
+
+
+def test_headers_leave_the_paragraphs(spark):
+    rng = random.Random(6)
+    clean = [(f"x{i}", "plain", prose(rng, 90)) for i in range(30)]
+    texts = [prose(rng) for _ in range(4)]
+    heads = ["Annual Water Report | 12", "Annual Water Report | 13", "Annual Water Report", "Pump Table Section"]
+    chunks = clean + [(f"p{i}", "doc", f"{h}\n{page(t)}") for i, (h, t) in enumerate(zip(heads, texts, strict=True))]
+    out = {r.chunk_id: r for r in s.repair_scans(*frames(spark, chunks, [("doc", "pdf", True, 1), ("plain", "text", False, 1)])).collect()}
+    assert {k: set(r.defects) for k, r in out.items()} == {"p0": {"running_header", "page_number"}, "p1": {"running_header", "page_number"}, "p2": {"running_header"}, "p3": set()}
+    for i in range(3):
+        assert " ".join(out[f"p{i}"].paragraphs) == texts[i]
+    assert "Pump Table Section" in " ".join(out["p3"].paragraphs)
+
+
 def test_paragraph_choice():
     full = ["some words that fill the whole line up" for _ in range(3)]
     lines = [*full, "short end.", *("New words that fill the whole line up" for _ in range(3)), "last."]
