@@ -6,7 +6,9 @@ ones borrow from another bucket, in an order all records share) make candidates;
 two sketches sorts out most of them; the rest is verified on the sets themselves.
 
 Records with the same words are one class and are represented once. Bands that more than HOT_BAND classes share are not
-paired but banded again by other registers within the band.
+paired but banded again by other registers within the band, level by level; what still shares a band after LEVELS levels agrees in so
+many registers that its pairs are links, and is paired. Bands that hold more than a HEAVYth of all classes are told from a sample
+beforehand and go to the next level without being gathered.
 """
 
 from __future__ import annotations
@@ -27,8 +29,10 @@ from quern.runtime import cut_lineage
 BUCKET_BITS, MANTISSA_BITS = 7, 10
 BUCKETS = 1 << BUCKET_BITS
 BANDS, ROWS = 32, 3
-HOT_BAND = 64
-#: Classes of copies up to this size are written as all their pairs, larger ones as links to their smallest key.
+HOT_BAND, LEVELS = 64, 4
+#: A band is heavy if it holds more than one in HEAVY of the classes (so there are at most BANDS x HEAVY heavy bands), as told from one class in SAMPLED.
+HEAVY, SAMPLED = 1000, 32
+#: Classes of copies up to this size are written as all their pairs, larger ones as links to their smallest key (see similar_pairs).
 PAIRED_COPIES = 64
 
 WORD = re.compile(r"[^\W_]+")
@@ -122,7 +126,7 @@ def densify(registers: np.ndarray) -> np.ndarray:
     return full
 
 
-@lru_cache(maxsize=4)
+@lru_cache(maxsize=8)
 def _band_registers(level: int) -> np.ndarray:
     rng = np.random.default_rng(100 + level)
     return np.stack([rng.choice(BUCKETS, ROWS, replace=False) for _ in range(BANDS)])
@@ -176,28 +180,45 @@ def _registers(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype="<u2").reshape(-1, BUCKETS)
 
 
-def _bands(classes: DataFrame) -> DataFrame:
-    """Band keys of every class; classes of different kinds never share one."""
+def _bands(classes: DataFrame, level: int, within: str) -> DataFrame:
+    """Band keys (rid, band) of every class at a level; classes that differ in the column ``within`` never share one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 2000):
                 piece = batch.slice(lo, 2000)
-                keys = band_keys(_registers(piece.column(1)), 0, piece.column(2).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64))
+                keys = band_keys(_registers(piece.column(1)), level, piece.column(2).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64))
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(piece.column(0).to_numpy(zero_copy_only=False), BANDS)), pa.array(keys.ravel())], names=["rid", "band"])
 
-    return classes.select("rid", "registers", "domain").mapInArrow(run, "rid bigint, band bigint")
-
-
-def _bands_again(hot: DataFrame) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 2000):
-                piece = batch.slice(lo, 2000)
-                keys = band_keys(_registers(piece.column(1)), 1, piece.column(2).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64))
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(piece.column(0).to_numpy(zero_copy_only=False), BANDS)), pa.array(keys.ravel())], names=["rid", "band"])
-
-    return hot.select("rid", "registers", "band").mapInArrow(run, "rid bigint, band bigint")
+    return classes.select("rid", "registers", within).mapInArrow(run, "rid bigint, band bigint")
+
+
+def _candidates(classes: DataFrame) -> DataFrame:
+    """Pairs of classes (a, b), a < b, that share a band which few classes share, on some level.
+
+    At every level the sizes of bands are counted; heavy bands, which a sample tells, never come together in one task. A hot
+    band's classes are banded again by registers of their own level within the band; at the last level all bands are paired."""
+    out, rows = None, classes.select("rid", "registers", "domain")
+    for level in range(LEVELS):
+        bands = _bands(rows, level, "domain")
+        last = level == LEVELS - 1
+        if not last:
+            n = rows.count()
+            sample = _bands(rows.where(F.pmod(F.xxhash64("rid"), F.lit(SAMPLED)) == 0), level, "domain")
+            heavy = sample.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") * SAMPLED * HEAVY > max(n, HOT_BAND * SAMPLED * HEAVY)).select("band", F.lit(True).alias("heavy"))
+            bands = bands.join(F.broadcast(cut_lineage(heavy)), "band", "left")  # at most BANDS x HEAVY rows
+            light = bands.where("heavy is null").withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("band"))).where("n > 1").select("rid", "band", (F.col("n") > HOT_BAND).alias("hot"))
+            bands = cut_lineage(light.unionByName(bands.where("heavy").select("rid", "band", F.lit(True).alias("hot"))))
+            again = bands.where("hot").select("rid", "band")
+            bands = bands.where("not hot").select("rid", "band")
+        pairs = _pairs(bands)
+        out = pairs if out is None else out.unionByName(pairs)
+        if last or again.limit(1).count() == 0:
+            break
+        # one row per class and hot band
+        rows = cut_lineage(again.join(classes.select("rid", "registers"), "rid").select("rid", "registers", F.col("band").alias("domain")))
+    assert out is not None
+    return out.distinct()
 
 
 def _pairs(bands: DataFrame) -> DataFrame:
@@ -254,11 +275,7 @@ def similar_classes(records: DataFrame, n: int = 5, threshold: float = 0.8, min_
     members = cut_lineage(latest)
     # one row per class; copies are folded before the shuffle, which all joins by class then share
     classes = drawn.groupBy("rid").agg(F.first(F.xxhash64("kind")).alias("domain"), F.first("size").alias("size"), F.first("registers").alias("registers"))
-    counted = _bands(classes).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("band"))).where("n > 1")
-    counted = cut_lineage(counted)
-    hot = counted.where(F.col("n") > HOT_BAND).select("rid", "band")
-    again = _bands_again(hot.join(classes.select("rid", "registers"), "rid"))
-    candidates = _pairs(counted.where(F.col("n") <= HOT_BAND).select("rid", "band")).unionByName(_pairs(again)).distinct()
+    candidates = _candidates(classes)
     near = cut_lineage(_judge(candidates, classes, threshold))
     links = _verify(near, drawn, threshold)
     for end in ("a", "b"):  # classes of outdated rows only are no one's
@@ -266,22 +283,23 @@ def similar_classes(records: DataFrame, n: int = 5, threshold: float = 0.8, min_
     return members, cut_lineage(links.select("a", "b", "jaccard"))
 
 
-def similar_pairs(records: DataFrame, n: int = 5, threshold: float = 0.8, min_words: int = 0) -> DataFrame:
+def similar_pairs(records: DataFrame, n: int = 5, threshold: float = 0.8, min_words: int = 0, paired_copies: int | None = None) -> DataFrame:
     """Pairs of different records (kind, key_a, key_b), key_a < key_b, whose similarity reaches ``threshold``.
 
     Every link between classes of different words is written for all their members. Members of one class are paired with
-    each other where there are at most PAIRED_COPIES of them; a larger class is written as the links of its
+    each other where there are at most ``paired_copies`` of them (PAIRED_COPIES by default); a larger class is written as the links of its
     members to its smallest key, and its links to other classes through that key, which together lose no connection."""
+    most = PAIRED_COPIES if paired_copies is None else paired_copies
     members, links = similar_classes(records, n, threshold, min_words)
     size = members.groupBy("rid").agg(F.count(F.lit(1)).alias("copies"), F.min("key").alias("head"))
     known = members.join(size, "rid")
-    out = known.where((F.col("copies") <= PAIRED_COPIES) | (F.col("key") == F.col("head")))
+    out = known.where((F.col("copies") <= most) | (F.col("key") == F.col("head")))
     x = out.select(F.col("rid").alias("a"), "kind", F.col("key").alias("ka"))
     y = out.select(F.col("rid").alias("b"), F.col("key").alias("kb"))
     across = links.select("a", "b").join(x, "a").join(y, "b").select("kind", "ka", "kb")
-    small = known.where((F.col("copies") > 1) & (F.col("copies") <= PAIRED_COPIES))
+    small = known.where((F.col("copies") > 1) & (F.col("copies") <= most))
     inside = small.select("rid", "kind", F.col("key").alias("ka")).join(small.select("rid", F.col("key").alias("kb")), "rid").where("ka < kb").select("kind", "ka", "kb")
-    star = known.where((F.col("copies") > PAIRED_COPIES) & (F.col("key") != F.col("head"))).select("kind", F.col("head").alias("ka"), F.col("key").alias("kb"))
+    star = known.where((F.col("copies") > most) & (F.col("key") != F.col("head"))).select("kind", F.col("head").alias("ka"), F.col("key").alias("kb"))
     return across.unionByName(inside).unionByName(star).select("kind", F.least("ka", "kb").alias("key_a"), F.greatest("ka", "kb").alias("key_b"))
 
 
@@ -312,5 +330,3 @@ def similar_groups(records: DataFrame, n: int = 5, threshold: float = 0.8, min_w
     rooted = members.join(roots, "rid", "left").join(degree, "rid", "left").select("kind", "key", F.coalesce("root", "rid").alias("root"), F.coalesce("links", F.lit(0)).cast("bigint").alias("links"))
     names = rooted.groupBy("root").agg(F.min("key").alias("class_id"))
     return rooted.join(names, "root").select("kind", "key", "class_id", "links")
-
-

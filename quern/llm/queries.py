@@ -158,4 +158,20 @@ ORACLE: dict[str, str] = {
     "p4_found": f"""{_SHINGLES}
     SELECT x.kind, key_a, key_b FROM shared x JOIN s a ON a.kind = x.kind AND a.key = key_a JOIN s b ON b.kind = x.kind AND b.key = key_b
     WHERE n::DOUBLE / (len(a.s) + len(b.s) - n) >= {LEAST_JACCARD}""",
+    "p4_groups": rf"""
+    WITH RECURSIVE texts AS (
+      SELECT 'chunk' AS kind, chunk_id AS key, arg_max(text, updated_at) AS text FROM chunks WHERE chunk_id IS NOT NULL AND text IS NOT NULL GROUP BY chunk_id
+      UNION ALL
+      SELECT 'segment', segment_id, arg_max(transcript, ingested_at) FROM segments WHERE segment_id IS NOT NULL AND transcript IS NOT NULL GROUP BY segment_id),
+    w AS (SELECT kind, key, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+') AS w FROM texts),
+    member AS (SELECT kind, key, w, min(key) OVER (PARTITION BY kind, w) AS rep FROM w WHERE len(w) >= {LEAST_WORDS}),
+    s AS (SELECT kind, rep, list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS s FROM member WHERE key = rep),
+    t AS (SELECT kind, rep, unnest(s) AS t FROM s),
+    shared AS (SELECT a.kind, a.rep AS a, b.rep AS b, count(*) AS n FROM t a JOIN t b ON a.kind = b.kind AND a.t = b.t AND a.rep < b.rep GROUP BY ALL),
+    pairs AS (SELECT x.kind, a, b FROM shared x JOIN s p ON p.kind = x.kind AND p.rep = a JOIN s q ON q.kind = x.kind AND q.rep = b WHERE n::DOUBLE / (len(p.s) + len(q.s) - n) >= {LEAST_JACCARD}),
+    edges AS (SELECT kind, a, b FROM pairs UNION ALL SELECT kind, b, a FROM pairs),
+    reach AS (SELECT kind, rep, rep AS other FROM s UNION SELECT r.kind, r.rep, e.b FROM reach r JOIN edges e ON e.kind = r.kind AND e.a = r.other),
+    roots AS (SELECT kind, rep, min(other) AS class_id FROM reach GROUP BY ALL),
+    degree AS (SELECT kind, a AS rep, count(*) AS links FROM edges GROUP BY ALL)
+    SELECT m.kind, m.key, r.class_id, coalesce(d.links, 0) AS links FROM member m JOIN roots r USING (kind, rep) LEFT JOIN degree d USING (kind, rep)""",
 }

@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pytest
 
 from quern.llm import neardup as n
 
@@ -51,8 +52,11 @@ def test_pairs_match_brute_force(spark):
     assert got <= want and len(got & want) / len(want) >= 0.97
 
 
-def test_hot_bands_are_banded_again(spark, monkeypatch):
+@pytest.mark.parametrize(("heavy", "sampled"), [(1000, 32), (20, 1)])
+def test_hot_bands_are_banded_again(spark, monkeypatch, heavy, sampled):
     monkeypatch.setattr(n, "HOT_BAND", 10)
+    monkeypatch.setattr(n, "HEAVY", heavy)
+    monkeypatch.setattr(n, "SAMPLED", sampled)
     rows = corpus(60, 5, hot=80)
     rows += [("chunk", "hot000e", 1, next(r[3] for r in rows if r[1] == "hot000") + " end"), ("chunk", "hot001e", 1, "start " + next(r[3] for r in rows if r[1] == "hot001"))]
     got = {tuple(r) for r in n.similar_pairs(frame(spark, rows), 3, 0.55, 20).collect()}
@@ -71,6 +75,15 @@ def test_copies(spark, monkeypatch):
     assert star == {("chunk", "c0", f"c{i}") for i in range(1, 5)} | {("chunk", "c0", "d")}
 
 
+def test_a_cluster_of_different_texts_keeps_all_its_links(spark, monkeypatch):
+    monkeypatch.setattr(n, "HOT_BAND", 4)
+    words = [f"q{i}" for i in range(300)]
+    rows = [("chunk", f"s{i:02d}", 1, " ".join(words[:i] + ["other"] + words[i + 1 :])) for i in range(0, 90, 3)]
+    got = {tuple(r) for r in n.similar_pairs(frame(spark, rows), 3, 0.55, 20).collect()}
+    want = brute(rows, 3, 0.55, 20)
+    assert len(want) == 30 * 29 // 2 and len(got & want) / len(want) >= 0.99
+
+
 def test_groups(spark):
     words = [f"y{i}" for i in range(60)]
     chain = [("chunk", f"g{i}", 1, " ".join(words[i * 4 : i * 4 + 40])) for i in range(6)] + [("chunk", "lone", 1, " ".join(f"z{i}" for i in range(40)))]
