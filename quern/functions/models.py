@@ -42,6 +42,12 @@ def same_query(query: Column) -> Column:
     return F.trim(query)
 
 
+def expanded(query: Column, model_of: Model | None = None) -> Column:
+    """A query as a model rewrites it; the query itself, trimmed, where the model gives null or nothing."""
+    plain = F.trim(query)
+    return F.coalesce(F.nullif(F.trim((model_of or model("expand"))(query)), F.lit("")), plain)
+
+
 def first_sentence(query: Column, context: Column) -> Column:
     """An answer: the context's first sentence."""
     return F.regexp_extract(context, r"(?s)^\s*(.*?[.!?])(?:\s|$)", 1)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -104,3 +106,46 @@ def flatten_catalog(raw: DataFrame, text: str, fields: list[str], org: str) -> D
     schema = "map<string, array<struct<" + ", ".join(f"{f}: string" for f in fields) + ">>>"
     lists = raw.select(F.explode(F.from_json(F.col(text), schema)).alias("group", "models"))
     return lists.select("group", F.explode("models").alias("m")).select(F.lit(org).alias("org_id"), "group", *[F.col(f"m.{f}").alias(f) for f in fields])
+
+
+# The kinds of models that have a catalog.
+MODEL_KINDS = ("llm", "embedding", "ocr", "audio", "video", "sparse", "reranker")
+
+
+@dataclass(frozen=True)
+class ModelCatalog:
+    """One kind's models (kind, id, name, provider), of which every change gives a new catalog. Rows of other kinds in ``every`` and in
+    changes are passed over; an update keeps what is null in it; null ids are never matched."""
+
+    kind: str
+    every: DataFrame
+
+    @property
+    def rows(self) -> DataFrame:
+        return self._mine(self.every)
+
+    def _mine(self, rows: DataFrame) -> DataFrame:
+        return rows.select("kind", "id", "name", "provider").where(F.col("kind") == self.kind)
+
+    def create(self, new: DataFrame) -> ModelCatalog:
+        """With the models of ``new`` whose id isn't taken."""
+        free = self._mine(new).join(self.rows.select("id"), "id", "left_anti").select("kind", "id", "name", "provider")
+        return ModelCatalog(self.kind, self.rows.unionByName(free))
+
+    def update(self, changes: DataFrame) -> ModelCatalog:
+        """With the changes of models that exist."""
+        known = self._mine(changes).join(self.rows.select("id"), "id", "left_semi").select("kind", "id", "name", "provider")
+        return ModelCatalog(self.kind, upsert(self.rows, known, ["kind", "id"], partial=True))
+
+    def delete(self, gone: DataFrame) -> ModelCatalog:
+        return ModelCatalog(self.kind, remove(self.rows, self._mine(gone), ["kind", "id"]))
+
+    def get(self, model_id: int) -> DataFrame:
+        return self.rows.where(F.col("id") == model_id)
+
+    def by_provider(self, provider: str, limit: int = 20, number: int = 1) -> DataFrame:
+        return page(self.rows.where(F.col("provider") == provider), [F.asc("name"), F.asc("id")], limit, number)
+
+    def providers(self) -> DataFrame:
+        """(kind, provider, models) of every provider."""
+        return self.rows.groupBy("kind", "provider").agg(F.count(F.lit(1)).alias("models"))

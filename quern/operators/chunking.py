@@ -75,6 +75,44 @@ def split_texts(df: DataFrame, key: str, text: str, size: int = CHUNK_SIZE, over
     return df.select(F.col(key).alias("key"), F.posexplode(pieces(F.col(text))).alias("piece", "text"))
 
 
+SENTENCE_CHARS, SENTENCE_OVERLAP = 1000, 100
+_SENTENCE = re.compile(r"[^.!?\n]*(?:[.!?]+|\n|$)\s*")
+
+
+def sentence_pieces(text: str, size: int = SENTENCE_CHARS, overlap: int = SENTENCE_OVERLAP) -> list[str]:
+    """Whole sentences packed into pieces of at most ``size`` characters, each beginning with the last sentences of the one before that
+    together have at most ``overlap`` characters. A sentence longer than ``size`` is a piece of its own, cut into such lengths."""
+    parts = []
+    for s in (m.group() for m in _SENTENCE.finditer(text) if m.group()):
+        parts += [s[i : i + size] for i in range(0, len(s), size)]
+    out: list[str] = []
+    held: list[str] = []
+    for part in parts:
+        if held and sum(map(len, held)) + len(part) > size:
+            out.append("".join(held))
+            back: list[str] = []
+            for s in reversed(held):
+                if sum(map(len, back)) + len(s) > overlap or sum(map(len, back)) + len(s) + len(part) > size:
+                    break
+                back.insert(0, s)
+            held = back
+        held.append(part)
+    if held:
+        out.append("".join(held))
+    return [p.strip() for p in out if p.strip()]
+
+
+def sentence_chunks(df: DataFrame, key: str, text: str, title: str) -> DataFrame:
+    """(key, chunk, text) of every text in sentence pieces, with the title on a line before a piece that doesn't hold it; a null or
+    blank title adds nothing, null and blank texts give no chunk."""
+    import pandas as pd
+
+    pieces = F.pandas_udf(lambda s: pd.Series([sentence_pieces(t) if t else [] for t in s], dtype=object), "array<string>")
+    cut = df.select(F.col(key).alias("key"), F.trim(F.coalesce(F.col(title), F.lit(""))).alias("__h"), F.posexplode(pieces(F.col(text))).alias("chunk", "text"))
+    bare = (F.col("__h") == "") | F.contains("text", "__h")
+    return cut.select("key", "chunk", F.when(bare, F.col("text")).otherwise(F.concat("__h", F.lit("\n"), "text")).alias("text"))
+
+
 _TERM = re.compile(r"(?u)\b\w\w+\b")
 
 

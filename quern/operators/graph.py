@@ -108,6 +108,16 @@ def list_nodes(nodes: DataFrame, kind: str, needle: str = "") -> DataFrame:
     return nodes.where((F.col("type") == kind) & F.contains(F.lower("value"), F.lit(needle.lower())))
 
 
+def tag_nodes(tags: DataFrame) -> DataFrame:
+    """Tag nodes (type, node_id, value, frequency) of distinct (chunk, label) rows."""
+    return tags.groupBy(F.col("label").alias("value")).agg(F.count(F.lit(1)).alias("frequency")).select(F.lit("tag").alias("type"), F.md5(F.col("value").cast("binary")).alias("node_id"), "value", "frequency")
+
+
+def tag_edges(tags: DataFrame) -> DataFrame:
+    """Edges (type, node_id, chunk) from chunks to their tags."""
+    return tags.select(F.lit("tag").alias("type"), F.md5(F.col("label").cast("binary")).alias("node_id"), "chunk")
+
+
 def lane_mapping(nodes: DataFrame, edges: DataFrame, kind: str) -> DataFrame:
     """(node_id, value, frequency, chunks array<struct<chunk, weight, frequency>>): every node of a lane with its chunks."""
     lists = edges.where(F.col("type") == kind).groupBy("node_id").agg(F.sum("frequency").alias("frequency"), F.array_sort(F.collect_list(F.struct("chunk", "weight", "frequency"))).alias("chunks"))

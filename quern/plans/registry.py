@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.plans import catalog_queries, interval_queries, lexical_queries, more_queries, source_queries, stream_queries, vector_queries
+from quern.plans import catalog_queries, ingest_queries, interval_queries, lexical_queries, more_queries, source_queries, stream_queries, vector_queries
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = (interval_queries, catalog_queries, source_queries, lexical_queries, vector_queries, stream_queries, more_queries)
+MODULES = (interval_queries, catalog_queries, source_queries, lexical_queries, vector_queries, stream_queries, more_queries, ingest_queries)
 FLAGSHIP: Query = vector_queries.plan_smart
 
 

@@ -21,7 +21,7 @@ from quern.streaming import jobs
 def stream_resume_buffers(spark, d):
     """Events as a stream, cut into buffers of fifty per user: how far each buffer got."""
     out = jobs.drain(jobs.advance_buffers(jobs.file_stream(spark, d, "events"), "user_id", "event_id"), spark)
-    return out.groupBy("user_id", "buffer").agg(F.max("n").alias("n"))
+    return out.groupBy("user_id", "buffer").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.max("n").alias("n"))
 
 
 def stream_status_counts(spark, d):
@@ -100,7 +100,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE: dict[str, str] = {
-    "stream_resume_buffers": "WITH r AS (SELECT user_id, (row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1) // 50 AS buffer FROM events WHERE user_id IS NOT NULL) SELECT user_id, buffer, count(*) AS n FROM r GROUP BY ALL",
+    "stream_resume_buffers": "WITH r AS (SELECT user_id, event_id, (row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1) // 50 AS buffer FROM events WHERE user_id IS NOT NULL) SELECT user_id, buffer, min(event_id) AS first, max(event_id) AS last, count(*) AS n FROM r GROUP BY ALL",
     "stream_status_counts": "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS window_start, event_type, count(*) AS n FROM events WHERE ts IS NOT NULL GROUP BY ALL",
     "event_sessions": """
     WITH m AS (SELECT *, coalesce(ts >= lag(ts) OVER w + INTERVAL 30 MINUTE, true)::INT AS o FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL WINDOW w AS (PARTITION BY user_id ORDER BY ts)),

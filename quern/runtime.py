@@ -20,16 +20,25 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the reliable checkpoint folder and read it back, so that later branches share one
     computation and lost executors cost no recomputation of it.
 
-    The folder is the session's ``spark.checkpoint.dir``; only where that is unset (tests, a laptop) is a
+    The folder is the session's ``spark.checkpoint.dir``; only where that is unset and everything runs on one machine is a
     temporary one made."""
-    spark = df.sparkSession
-    sc = spark.sparkContext
+    sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        configured = spark.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="quern-checkpoint-"))
+        sc.setCheckpointDir(checkpoint_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The folder that all executors share, ``spark.checkpoint.dir``; on one machine a temporary one where it is unset. On a cluster
+    that is an error, since other machines can't read a local folder."""
+    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if configured:
+        return configured
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    return tempfile.mkdtemp(prefix="quern-checkpoint-")
+
+
 def null_last_key(*cols: Column) -> list[Column]:
     """Sort keys with nulls after all values."""
     return [c.asc_nulls_last() for c in cols]
