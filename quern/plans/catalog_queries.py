@@ -143,7 +143,12 @@ _TYPES = f"(VALUES {names.values_sql(names.FILE_TYPES)}) t(e, k)"
 _LANGS = f"(VALUES {names.values_sql(names.CODE_LANGUAGES)}) l(e, k)"
 _ROUTE = "CASE " + " ".join(f"WHEN lower(trim(type)) IN ({', '.join(repr(x) for x in types.split())}) OR {EXT} IN ({', '.join(repr(x) for x in suffixes.split())}) THEN '{name}'" for name, types, suffixes in names.ROUTES) + " WHEN l.k IS NOT NULL THEN 'code' END"
 
+_SHA = f"sha1(unhex('{names.DNS_NAMESPACE}') || encode(chunk_id))"
+
 ORACLE: dict[str, str] = {
+    "point_ids": f"""
+    SELECT chunk_id, h[1:8] || '-' || h[9:12] || '-5' || h[14:16] || '-' || ['8', '9', 'a', 'b'][('0x' || h[17])::INT % 4 + 1] || h[18:20] || '-' || h[21:32] AS point_id
+    FROM (SELECT DISTINCT chunk_id, {_SHA} AS h FROM chunks WHERE chunk_id IS NOT NULL)""",
     "filetype_map": f"SELECT id, {EXT} AS ext, t.k AS file_type FROM {UP} u LEFT JOIN {_TYPES} ON t.e = {EXT}",
     "code_language_map": f"SELECT id, l.k AS language FROM {UP} u LEFT JOIN {_LANGS} ON l.e = {EXT}",
     "processor_routes": f"SELECT id, {_ROUTE} AS route FROM {UP} u LEFT JOIN {_LANGS} ON l.e = {EXT}",

@@ -61,7 +61,9 @@ def lex_acronym_usage(spark, d):
 
 
 def lex_bridge_edges(spark, d):
-    return lexical.bridge_edges(lexical_input(spark, d))
+    """Edges of every label within its buffer: how many, the greatest weight, and the ends of the first and last."""
+    edges = lexical.bridge_edges(lexical_input(spark, d))
+    return edges.groupBy("doc", "buf", "type", "label").agg(F.count(F.lit(1)).alias("edges"), F.max("weight").alias("weight"), F.min("src").alias("first_src"), F.max("dst").alias("last_dst"))
 
 
 def lex_edges_dedup(spark, d):
@@ -252,7 +254,7 @@ ORACLE: dict[str, str] = {
     "lex_noise": f"WITH {SC}, {_TF}, w AS (SELECT DISTINCT doc, buf, label FROM tf ANTI JOIN vocab USING (doc, buf, label)) SELECT doc, buf, rank, label AS word FROM (SELECT *, row_number() OVER (PARTITION BY doc, buf ORDER BY label) AS rank FROM w) WHERE rank <= 15",
     "lex_acronyms": f"WITH {SC}, {_ACR} SELECT * FROM acr",
     "lex_acronym_usage": f"WITH {SC}, {_ACR} SELECT * FROM use",
-    "lex_bridge_edges": f"{_EDGES} SELECT * FROM edges",
+    "lex_bridge_edges": f"{_EDGES} SELECT doc, buf, type, label, count(*) AS edges, max(weight) AS weight, min(src) AS first_src, max(dst) AS last_dst FROM edges GROUP BY ALL",
     "lex_edges_dedup": f"{_MAPS} SELECT * FROM best",
     "lex_node_maps": f"{_MAPS} SELECT * FROM nm",
     "query_analysis_lanes": f"""

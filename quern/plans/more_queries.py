@@ -13,7 +13,7 @@ from quern.operators import catalog, chunking, graph, lexical
 from quern.plans.catalog_queries import CHUNKS, UP, chunk_rows, uploads
 from quern.plans.lexical_queries import _MAPS, lexical_input
 from quern.plans.source_queries import SEGMENTS, segments
-from quern.plans.vector_queries import _hybrid
+from quern.plans.vector_queries import _LEGS, K, _hybrid
 from quern.runtime import table
 from quern.sources import structured
 
@@ -113,6 +113,14 @@ _PDF = f"(SELECT id FROM {UP} WHERE lower(trim(type)) = 'pdf')"
 _SC = _MAPS[: _MAPS.index(", ent AS")]
 
 ORACLE: dict[str, str] = {
+    "response_json": _LEGS.replace("{k}", str(K)) + """ SELECT key, '{"key":"' || key || '"' || coalesce(',"doc":"' || doc || '"', '') || coalesce(',"number":' || number, '') || '}' AS row FROM rr JOIN sc ON sc.chunk = rr.key""",
+    "ocr_page_batches": f"""
+    WITH RECURSIVE {_MAPS[_MAPS.index("WITH ") + 5 : _MAPS.index(", ent AS")]},
+    r AS (SELECT doc, buf, chunk, strlen(text) AS b, row_number() OVER (PARTITION BY doc, buf ORDER BY number, chunk) AS i FROM sc WHERE doc IN (SELECT id FROM {UP} WHERE lower(trim(type)) IN ('pdf', 'doc', 'ppt'))),
+    p AS (SELECT doc, buf, chunk, i, 1 AS n, b, 0 AS batch FROM r WHERE i = 1 UNION ALL
+      SELECT r.doc, r.buf, r.chunk, r.i, CASE WHEN p.n + 1 > {PAGE_LIMIT} OR p.b + r.b > {PAGE_BYTES} THEN 1 ELSE p.n + 1 END, CASE WHEN p.n + 1 > {PAGE_LIMIT} OR p.b + r.b > {PAGE_BYTES} THEN r.b ELSE p.b + r.b END, p.batch + (p.n + 1 > {PAGE_LIMIT} OR p.b + r.b > {PAGE_BYTES})::INT
+      FROM p JOIN r ON r.doc = p.doc AND r.buf = p.buf AND r.i = p.i + 1)
+    SELECT doc, buf, chunk, batch FROM p""",
     "pdf_document_order": f"{_SC} SELECT doc, buf, chunk, starts_with(ltrim(text), '|') AS is_table, row_number() OVER (PARTITION BY doc, buf ORDER BY starts_with(ltrim(text), '|'), number, chunk) - 1 AS position FROM sc WHERE doc IN {_PDF}",
     "pdf_tables": """
     SELECT n_regionkey::BIGINT AS region, '| name | both |' || chr(10) || '| --- | --- |' || chr(10) || string_agg('| ' || n_name || ' | ' || n_name || chr(92) || '|' || n_nationkey || ' |', chr(10) ORDER BY n_name) AS markdown FROM nation GROUP BY 1""",

@@ -28,9 +28,10 @@ def gate(points: DataFrame, least: float = POINT_GATE, keep_max: bool = True) ->
 
 def min_max(scores: DataFrame, by: str = "source") -> DataFrame:
     """Scores of each source mapped to 0..1; 1 where all are equal."""
-    w = Window.partitionBy(by)
-    low, high = F.min("score").over(w), F.max("score").over(w)
-    return scores.withColumn("score", F.when(high > low, (F.col("score") - low) / (high - low)).otherwise(1.0))
+    ranges = scores.groupBy(F.col(by).alias("__by")).agg(F.min("score").alias("__low"), F.max("score").alias("__high"))  # one row per source
+    low, high = F.col("__low"), F.col("__high")
+    ranged = scores.join(ranges, F.col(by).eqNullSafe(F.col("__by")))
+    return ranged.withColumn("score", F.when(high > low, (F.col("score") - low) / (high - low)).otherwise(1.0)).drop("__by", "__low", "__high")
 
 
 def fuse_sources(scores: DataFrame, k: int = EXPERT_CHUNKS) -> DataFrame:

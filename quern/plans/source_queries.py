@@ -248,7 +248,22 @@ def _clock(s: str) -> str:
     return f"CASE WHEN {s} IS NULL THEN '--:--' WHEN floor({s}) >= 3600 THEN lpad((floor({s})::INT // 3600)::VARCHAR, 2, '0') || ':' || lpad((floor({s})::INT % 3600 // 60)::VARCHAR, 2, '0') || ':' || lpad((floor({s})::INT % 60)::VARCHAR, 2, '0') ELSE lpad((floor({s})::INT // 60)::VARCHAR, 2, '0') || ':' || lpad((floor({s})::INT % 60)::VARCHAR, 2, '0') END"
 
 
+def _packs(scope: str, key: str, start: str, end: str, text: str, rows: str) -> str:
+    """Greedy packs by recursion over the rows of each slice in order."""
+    return f"""
+    WITH RECURSIVE r AS (SELECT document_id, floor({start} / 600)::BIGINT AS slice, {key}, coalesce({end} - {start}, 0) AS s, len(regexp_split_to_array(coalesce({text}, ''), '\\s+')) AS w, row_number() OVER (PARTITION BY document_id, floor({start} / 600) ORDER BY {start}, {key}) AS i FROM {rows} WHERE {start} IS NOT NULL{scope}),
+    p AS (SELECT document_id, slice, {key}, i, s, w::DOUBLE AS w, 0 AS pack FROM r WHERE i = 1 UNION ALL
+      SELECT r.document_id, r.slice, r.{key}, r.i, CASE WHEN p.s + r.s > {PACK_SECONDS} OR p.w + r.w > {PACK_WORDS} THEN r.s ELSE p.s + r.s END, CASE WHEN p.s + r.s > {PACK_SECONDS} OR p.w + r.w > {PACK_WORDS} THEN r.w ELSE p.w + r.w END, p.pack + (p.s + r.s > {PACK_SECONDS} OR p.w + r.w > {PACK_WORDS})::INT
+      FROM p JOIN r ON r.document_id = p.document_id AND r.slice = p.slice AND r.i = p.i + 1)
+    SELECT document_id, slice, {key}, pack FROM p"""
+
+
 ORACLE: dict[str, str] = {
+    "segment_packs": _packs(" AND document_id IS NOT NULL", "segment_id", "start_time", "end_time", "transcript", SEGMENTS),
+    "utterance_packs": _packs("", "utterance_id", "start_sec", "end_sec", "text", UTTERANCES),
+    "garbled_text": rf"""
+    SELECT chunk_id, coalesce(regexp_matches(text, '\(cid:\d+\)') OR share >= 0.3, false) AS garbled, round(share, 6) AS share
+    FROM (SELECT chunk_id, text, CASE WHEN length(text) > 0 THEN len(regexp_extract_all(left(text, 200), '[\p{{Co}}\x{{FFFD}}\x00-\x08\x0B\x0C\x0E-\x1F\x7F-\x9F]')) / least(length(text), 200) ELSE 0.0 END AS share FROM {CHUNKS})""",
     "csv_row_text": f"SELECT c_custkey, {_LINE} AS line, 'c_name ' || c_name || ' c_nationkey ' || c_nationkey || ' c_mktsegment ' || c_mktsegment AS terms FROM customer",
     "io_buffer_assign": f"SELECT buffer, count(*) AS n, min(c_custkey) AS first_key, max(c_custkey) AS last_key FROM {_BUFFERS} GROUP BY 1",
     "io_buffer_bytecap": f"SELECT c_custkey, buffer, b AS bytes_so_far, b <= {BYTE_CAP} OR k = 1 AS kept FROM (SELECT *, sum(strlen(line)) OVER (PARTITION BY buffer ORDER BY r ROWS UNBOUNDED PRECEDING)::BIGINT AS b, row_number() OVER (PARTITION BY buffer ORDER BY r) AS k FROM {_BUFFERS})",

@@ -13,6 +13,7 @@ from quern.operators import vector_search as vs
 from quern.plans import retrieval
 from quern.plans.catalog_queries import CHUNKS, UP, chunk_rows, uploads
 from quern.plans.lexical_queries import SC, _MAPS, _words, lexical_input
+from quern.plans.stored import stored
 from quern.runtime import cut_lineage, table
 
 DIM, K = 96, 10
@@ -90,8 +91,11 @@ def vec_rrf_each(spark, d):
     return vs.fuse(legs, K).select("query", "key", F.round("score", 6).alias("score"))
 
 
-def _similar(spark, d):
+def _similar(spark, d, hits: DataFrame | None = None):
+    """Similarity edges; with ``hits`` (chunk) only of the documents that hold one of them."""
     docs = chunk_rows(spark, d, "document_id").where("document_id is not null").select(F.col("chunk_id").alias("key"), F.col("document_id").alias("doc"))
+    if hits is not None:
+        docs = docs.join(docs.join(hits.select(F.col("chunk").alias("key")), "key", "left_semi").select("doc").distinct(), "doc", "left_semi").select("key", "doc")
     return vs.similar_in_document(dense_vectors(spark, d).join(docs, "key"))
 
 
@@ -116,8 +120,8 @@ def vec_collections(spark, d):
 def vec_delete(spark, d):
     """Points left, by organisation, after the document of the smallest upload id is deleted."""
     rows = chunk_rows(spark, d, "org_id", "project_id", "document_id")
-    first = uploads(spark, d).orderBy("id").limit(1).collect()[0]
-    return vs.delete_points(rows, first["org_id"], first["project_id"], first["id"]).groupBy("org_id").agg(F.count(F.lit(1)).alias("points"))
+    first = uploads(spark, d).orderBy("id").limit(1).select("org_id", "project_id", F.col("id").alias("document_id"))
+    return rows.join(first, ["org_id", "project_id", "document_id"], "left_anti").groupBy("org_id").agg(F.count(F.lit(1)).alias("points"))
 
 
 def vec_upsert(spark, d):
@@ -147,8 +151,7 @@ def expert_fusion(spark, d):
 
 
 def _semantic(spark, d):
-    maps = lexical.node_maps(lexical.strongest_edges(lexical.bridge_edges(lexical_input(spark, d))))
-    maps = cut_lineage(maps)
+    maps = stored(spark, d, "node_maps", lambda: lexical.node_maps(lexical.strongest_edges(lexical.bridge_edges(lexical_input(spark, d)))))
     return graph.semantic_nodes(maps), graph.semantic_edges(maps)
 
 
@@ -216,15 +219,16 @@ def _plan(spark, d, kind: str, advanced: bool) -> DataFrame:
         scores = retrieval.fuse_sources(union).select("key", F.col("total").alias("score"))
     rows = graph.expand_neighbours(scores.withColumnRenamed("key", "chunk"), graph.sequential_edges(chunks), chunks)
     if kind != "quick":
-        rows = graph.expand_similar(rows, _similar(spark, d), retrieval.SIMILAR_GATE)
+        rows = cut_lineage(rows)  # at most a few hundred hits, which say which documents are compared
+        rows = graph.expand_similar(rows, _similar(spark, d, rows), retrieval.SIMILAR_GATE)
     texts = chunks.select("chunk", "text")
     ranked = retrieval.rerank(rows.join(texts, "chunk").withColumnRenamed("chunk", "key"), QUESTION, "text", K)
     return retrieval.drop_neighbours(ranked.drop("text"), [F.desc("rerank_score"), F.asc("key")])
 
 
 def plan_quick(spark, d):
-    rows = _plan(spark, d, "quick", False)
-    return retrieval.quick_context(rows, lexical_input(spark, d))
+    rows = cut_lineage(_plan(spark, d, "quick", False))
+    return retrieval.quick_context(rows, lexical_input(spark, d)).withColumn("score", F.round("score", 6))
 
 
 def _assembled(spark, d, kind: str, advanced: bool) -> DataFrame:
@@ -280,7 +284,37 @@ _SIM = f"""{_DENSE}, dv AS (SELECT document_id AS doc, key, v FROM dense JOIN {C
     ap AS (SELECT a.key AS src, b.key AS dst, round(list_cosine_similarity(a.v, b.v), 6) AS weight FROM dv a JOIN dv b ON a.doc = b.doc AND a.key <> b.key),
     sim AS (SELECT * FROM (SELECT * FROM ap QUALIFY row_number() OVER (PARTITION BY src ORDER BY weight DESC, dst) <= 3) WHERE weight >= 0.75)"""
 
+_PLAN = f"""x AS (SELECT g.key, g.score, c.number, c.text, p.chunk AS prev_chunk, n.chunk AS next_chunk FROM g JOIN sc c ON c.chunk = g.key LEFT JOIN sc p ON p.doc = c.doc AND p.number = c.number - 1 LEFT JOIN sc n ON n.doc = c.doc AND n.number = c.number + 1),
+    rk AS (SELECT *, round(len(list_intersect({_Q}, {_words('[a-z]{4,}')})) / len({_Q}), 6) AS rerank_score FROM x ORDER BY rerank_score DESC, score DESC, key LIMIT {K})"""
+_FOLD = """ord AS (SELECT *, row_number() OVER (ORDER BY {by} DESC, key) AS i FROM {rows}),
+    fold AS (SELECT 0::BIGINT AS i, []::VARCHAR[] AS seen, []::VARCHAR[] AS kept UNION ALL
+      SELECT o.i, CASE WHEN list_contains(seen, key) THEN seen ELSE list_concat(seen, list_filter([key, prev_chunk, next_chunk], lambda z: z IS NOT NULL)) END, CASE WHEN list_contains(seen, key) THEN kept ELSE list_append(kept, key) END FROM fold f JOIN ord o ON o.i = f.i + 1),
+    kept AS (SELECT * FROM ord WHERE list_contains((SELECT kept FROM fold ORDER BY i DESC LIMIT 1), key))"""
+_HITS = _LEGS.replace("WITH ", "WITH RECURSIVE ", 1).replace("{k}", "50")
+_GATED = "g AS (SELECT key, score FROM rr WHERE score >= 0.45)"
+_SIM_ONLY = _SIM.replace(_DENSE + ", ", "")
+_ISLANDS = """wanted AS (SELECT key AS chunk, 0 AS priority FROM kept UNION ALL SELECT prev_chunk, 1 FROM kept UNION ALL SELECT next_chunk, 2 FROM kept UNION ALL SELECT DISTINCT dst, 3 FROM kept JOIN sim ON src = key AND weight >= 0.8{more}),
+    once AS (SELECT sc.doc, sc.number, sc.text FROM wanted w JOIN sc ON sc.chunk = w.chunk QUALIFY row_number() OVER (PARTITION BY sc.doc, sc.number ORDER BY priority, text) = 1),
+    runs AS (SELECT *, number - row_number() OVER (PARTITION BY doc ORDER BY number) AS run FROM once)
+    SELECT doc, min(number) AS first, max(number) AS last, count(*) AS n, string_agg(text, chr(10) ORDER BY number) AS text FROM runs GROUP BY doc, run"""
+_AROUND = """ UNION ALL SELECT b.chunk, 4 FROM (SELECT DISTINCT dst FROM kept JOIN sim ON src = key AND weight >= 0.8) s JOIN sc a ON a.chunk = s.dst JOIN sc b ON b.doc = a.doc AND (b.number = a.number + 1 OR b.number = a.number - 1)"""
+_RERANKED = _FOLD.format(by="rerank_score", rows="rk")
+_LANE_HITS = f"""nw AS (SELECT node_id, type, list_distinct(regexp_split_to_array(value, '[\\s_-]+')) AS w FROM nodes),
+    sm AS (SELECT node_id, type, len(list_intersect(w, {_Q})) / sqrt(len(w) * len({_Q})) AS s FROM nw WHERE len(list_intersect(w, {_Q})) > 0),
+    lane AS (SELECT chunk AS key, round(max(s * weight), 6) AS score FROM sm JOIN sem USING (node_id, type) WHERE weight >= 0.7 GROUP BY 1 ORDER BY score DESC, key LIMIT {retrieval.LANE_CHUNKS})"""
+_FUSED = f"""src AS (SELECT key, 'points' AS source, score FROM rr WHERE score >= 0.45 UNION ALL SELECT key, 'lexical', score FROM lane),
+    nm2 AS (SELECT key, CASE WHEN max(score) OVER w > min(score) OVER w THEN (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) ELSE 1.0 END AS score FROM src WINDOW w AS (PARTITION BY source)),
+    g AS (SELECT key, score FROM (SELECT key, count(*) AS sources, round(sum(score), 6) AS score FROM nm2 GROUP BY key) ORDER BY sources DESC, score DESC, key LIMIT {retrieval.EXPERT_CHUNKS})"""
+
 ORACLE: dict[str, str] = {
+    "rerank_local": f"{_HITS}, g AS (SELECT * FROM rr), {_PLAN} SELECT key, rerank_score, round(score, 6) AS score FROM rk",
+    "neighbour_dedupe": f"{_HITS}, g AS (SELECT key, round(score, 6) AS score FROM rr), {_PLAN}, {_FOLD.format(by='score', rows='x')} SELECT key, score, prev_chunk, next_chunk FROM kept",
+    "plan_quick": f"""{_HITS}, {_GATED}, {_PLAN}, {_RERANKED}
+    SELECT k.key, round(score, 6) AS score, concat_ws(chr(10), CASE WHEN score >= 0.8 THEN '[High]' WHEN score >= 0.5 THEN '[Medium]' ELSE '[Low]' END, b.text, k.text, a.text) AS context
+    FROM kept k LEFT JOIN sc b ON b.chunk = prev_chunk AND b.chunk NOT IN (SELECT key FROM kept) LEFT JOIN sc a ON a.chunk = next_chunk AND a.chunk NOT IN (SELECT key FROM kept)""",
+    "plan_smart": f"{_HITS}, {_GATED}, {_PLAN}, {_RERANKED}, {_SIM_ONLY}, " + _ISLANDS.format(more=""),
+    "plan_smart_adv": f"{_HITS}, {_GATED}, {_PLAN}, {_RERANKED}, {_SIM_ONLY}, " + _ISLANDS.format(more=_AROUND),
+    "plan_expert": _MAPS.replace("WITH ", "WITH RECURSIVE ", 1) + ", " + _HITS.split(f"{SC}, ", 1)[1] + f", {_LANE_HITS}, {_FUSED}, {_PLAN}, {_RERANKED}, {_SIM_ONLY}, " + _ISLANDS.format(more=""),
     "vec_inject_join": f"WITH {SC}, {_DENSE}, {_SPARSE} SELECT chunk, doc, v IS NOT NULL AS has_dense, coalesce(n, 0) AS n_terms FROM sc LEFT JOIN dense ON dense.key = chunk LEFT JOIN (SELECT key, count(*) AS n FROM sparse GROUP BY 1) s ON s.key = chunk",
     "vec_inject_strict": f"WITH {SC}, {_DENSE}, {_SPARSE} SELECT chunk, n AS n_terms FROM sc JOIN dense ON dense.key = chunk JOIN (SELECT key, count(*) AS n FROM sparse GROUP BY 1) s ON s.key = chunk",
     "vec_cosine_topk": _LEGS.replace('{k}', str(K)) + " SELECT key, round(score, 6) AS score FROM dt",
