@@ -37,6 +37,8 @@ BASE_BLOCK, QUERY_BLOCK = 8192, 32_768
 EPSILON = 3.0
 #: Bits and levels of a query's coordinates and of the finer code of a base vector.
 QUERY_BITS, FINE_LEVELS = 4, 127
+#: A list of ids that is counted and no longer than this is broadcast.
+BROADCAST_ROWS = 100_000
 LAID = "cell int, bs int, qs int, is_query boolean, load binary"
 KEY_BYTES = 16
 
@@ -197,7 +199,9 @@ def usable_vectors(df: DataFrame, key: str, vector: str, dim: int) -> tuple[Data
     raw = raw_vectors(df, key, vector, dim)
     ids = cut_lineage(raw.groupBy("id").agg(F.max(F.struct("lead", "key")).alias("x")).select("id", F.col("x.key").alias("key")))
     outdated = cut_lineage(raw.select("id", "key").join(ids.withColumnRenamed("key", "live"), "id").where("key <> live").select("id", "key").distinct())
-    return ids, raw.join(outdated, ["id", "key"], "left_anti").select("key", "vec")
+    if (n := outdated.count()) == 0:
+        return ids, raw.select("key", "vec")
+    return ids, raw.join(F.broadcast(outdated) if n <= BROADCAST_ROWS else outdated, ["id", "key"], "left_anti").select("key", "vec")
 
 
 def _fit(vectors: DataFrame, n: int, cells: int, dim: int) -> np.ndarray:
