@@ -94,11 +94,12 @@ def fill_containers(items: DataFrame, key: str, size: str, capacity: int) -> Dat
     alone = F.col("oversized") & (F.col("length") == capacity)
     packed = pieces.where(~alone)
     histogram = {r["length"]: r["n"] for r in packed.where("length > 0").groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
-    placed = _placements(pack_histogram(histogram, capacity))
+    shared = items.sparkSession.sparkContext.broadcast(_placements(pack_histogram(histogram, capacity)))  # bounded by the capacity
 
     ranked = exclusive_scan(packed.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(RANK_SHARDS))), ["length"], ["key", "piece"], "shard", F.lit(1), "rank")
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        placed = shared.value
         for batch in batches:
             length, rank = (batch.column(i).to_numpy(zero_copy_only=False) for i in (3, 4))
             container = np.zeros(len(length), dtype=np.int64)
@@ -111,9 +112,9 @@ def fill_containers(items: DataFrame, key: str, size: str, capacity: int) -> Dat
             yield pa.RecordBatch.from_arrays([*batch.columns[:4], names], names=["key", "piece", "offset", "length", "container"])
 
     kind = ranked.schema["key"].dataType.simpleString()
-    shared = ranked.select("key", "piece", "offset", "length", F.col("rank").cast("bigint").alias("rank")).mapInArrow(place, f"key {kind}, piece bigint, offset bigint, length bigint, container string")
+    together = ranked.select("key", "piece", "offset", "length", F.col("rank").cast("bigint").alias("rank")).mapInArrow(place, f"key {kind}, piece bigint, offset bigint, length bigint, container string")
     own = pieces.where(alone).select("key", "piece", "offset", "length", F.concat(F.lit("own-"), F.col("key").cast("string"), F.lit("-"), F.col("piece").cast("string")).alias("container"))
-    return shared.unionByName(own).withColumnRenamed("key", key)
+    return together.unionByName(own).withColumnRenamed("key", key)
 
 
 def fill_report(assigned: DataFrame, capacity: int) -> DataFrame:
