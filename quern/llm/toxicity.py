@@ -160,7 +160,8 @@ def undisguised(low: str) -> str:
 
 _WRAP = re.compile(r"\n(?<=[^\W\d_]\n|[,;’']\n)[ \t]*(?=[a-zß-öø-ÿ])")
 _BREAK = re.compile(r"[.!?…\r\n](?:(?<=[\r\n])[\r\n]*|[.!?…]*(?=\s|$))")
-_WORDS = re.compile(r"[^\W\d_]+")
+#: Letters; not those of codes such as ab-12.
+_WORDS = re.compile(r"[^\W\d_]++(?!-?\d)")
 
 
 def sentences(text: str) -> list[str]:

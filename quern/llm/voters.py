@@ -120,7 +120,8 @@ class Voter(NamedTuple):
 
 
 def _any(name: str) -> str:
-    return r"(?<![\w])(?:" + "|".join(sorted(map(re.escape, CLASSES[name]), key=len, reverse=True)) + r")(?!\w)"
+    """A word of a class; letters before a hyphen and digits are a code, not a word."""
+    return r"(?<![\w])(?:" + "|".join(sorted(map(re.escape, CLASSES[name]), key=len, reverse=True)) + r")(?!\w|-\d)"
 
 
 def _gap(n: int, stop: str = "") -> str:
