@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import cached_property
 
@@ -80,12 +81,18 @@ class Engine:
             legs.insert(0, vs.dense_top(self.dense.join(mine, "key", "left_semi"), query, k))
         return vs.fuse(legs, k)
 
-    def query(self, text: str, vector: list[float] | None = None, kind: str = "quick", k: int | None = None, reranker: str | None = "local", **tenant: str | None) -> DataFrame:
-        """Results of a quick, smart or expert plan: (key, score, rerank_score, number, prev_chunk, next_chunk[, similar])."""
+    def query(self, text: str, vector: list[float] | None = None, kind: str = "quick", k: int | None = None, reranker: str | None = "local", rewrite: Callable[[str], str | None] | None = None, **tenant: str | None) -> DataFrame:
+        """Results of a quick, smart or expert plan: (key, score, rerank_score, number, prev_chunk, next_chunk[, similar]). ``rewrite`` expands the
+        question; where it gives nothing, or fails, the question stays."""
         if not text.strip():
             raise ValueError("the query is empty")
         if kind not in ("quick", "smart", "expert"):
             raise ValueError(f"no plan named {kind}")
+        if rewrite is not None:
+            try:
+                text = (rewrite(text) or "").strip() or text
+            except Exception:  # a model that fails leaves the question as it is
+                pass
         scores = retrieval.gate(self.search(text, vector, k, **tenant))
         if kind == "expert":
             mine = self._tenant(tenant.get("org"), tenant.get("project"), tenant.get("document"))
@@ -109,5 +116,51 @@ class Engine:
         key = acronym_id(F.lit(value)) if kind == "acronym" else node_id(F.lit(value))
         return self.edges.where((F.col("type") == kind) & (F.col("node_id") == key)).select("chunk")
 
+    def chunk_page(self, document: str | None = None, needle: str | None = None, limit: int = 20, number: int = 1) -> DataFrame:
+        rows = self.chunks if document is None else self.chunks.where(F.col("document_id") == document)
+        rows = rows if needle is None else rows.where(catalog.contains_ignoring_case(F.col("text"), needle))
+        return catalog.page(rows, [F.asc("document_id"), F.asc("chunk_number"), F.asc("chunk_id")], limit, number)
+
+    @cached_property
+    def tags(self) -> DataFrame:
+        """(chunk, label): the cleaned tags of the segments."""
+        rows = latest_rows(table(self.spark, self.data, "segments"), ["segment_id"], "ingested_at", ["segment_id", "keywords"]).where("keywords is not null")
+        cut = rows.select(F.col("segment_id").alias("chunk"), F.explode(F.split("keywords", ",")).alias("t"))
+        return cut_lineage(cut.select("chunk", graph.clean_tag(F.col("t")).alias("label")).where("label <> ''").distinct())
+
+    def list_tags(self, needle: str = "", limit: int = 20, number: int = 1) -> DataFrame:
+        return catalog.page(graph.list_nodes(graph.tag_nodes(self.tags), "tag", needle), [F.desc("frequency"), F.asc("value")], limit, number)
+
+    def chunks_by_tag(self, tag: str) -> DataFrame:
+        return graph.tag_edges(self.tags).where(F.col("node_id") == F.md5(graph.clean_tag(F.lit(tag)).cast("binary"))).select("chunk")
+
+    def tools(self, **tenant: str | None) -> dict[str, Callable[..., DataFrame]]:
+        """What an agent may call, each a lazy plan: vector_search(query, vector, top_k), lexical_lane_search(query), get_similar_chunks(ids) and
+        rerank_chunks(query, ids). An empty list of ids gives no rows."""
+        mine = self._tenant(tenant.get("org"), tenant.get("project"), tenant.get("document"))
+
+        def given(ids: list[str]) -> DataFrame:
+            return self.spark.createDataFrame([(i,) for i in ids], "key string").join(mine, "key", "left_semi")
+
+        def around(scores: DataFrame) -> DataFrame:
+            return graph.expand_neighbours(scores.withColumnRenamed("key", "chunk"), self.sequence, self.scoped)
+
+        def vector_search(query: str, vector: list[float] | None = None, top_k: int = 5) -> DataFrame:
+            return around(retrieval.gate(self.search(query, vector, top_k, **tenant), 0.0))
+
+        def lexical_lane_search(query: str) -> DataFrame:
+            edges = self.edges.join(mine.withColumnRenamed("key", "chunk"), "chunk", "left_semi")
+            return around(retrieval.lane_chunk_scores(self.nodes, edges, query))
+
+        def get_similar_chunks(ids: list[str]) -> DataFrame:
+            strong = self.similar.where(F.col("weight") >= retrieval.SIMILAR_GATE)
+            return strong.join(given(ids).withColumnRenamed("key", "src"), "src", "left_semi").join(mine.withColumnRenamed("key", "dst"), "dst", "left_semi").select(F.col("src").alias("related_to"), F.col("dst").alias("chunk"), "weight")
+
+        def rerank_chunks(query: str, ids: list[str]) -> DataFrame:
+            rows = given(ids).join(self.scoped.select(F.col("chunk").alias("key"), "text"), "key").withColumn("score", F.lit(1.0))
+            return retrieval.rerank(rows, query, "text", max(len(ids), 1)).select("key", "rerank_score", "text")
+
+        return {f.__name__: f for f in (vector_search, lexical_lane_search, get_similar_chunks, rerank_chunks)}
+
     def lane(self, kind: str) -> DataFrame:
         return graph.lane_mapping(self.nodes, self.edges, kind)

@@ -15,7 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -23,8 +23,8 @@ from quern.runtime import cut_lineage
 
 SHARD_UNITS = 1 << 22
 SALTS = 16
-#: Units beyond this (about 1,100 years of milliseconds) are no times of a recording; such rows are not usable.
-MAX_UNIT = float(1 << 45)
+#: By default, times beyond this many seconds from the start (a year) are no times of a recording.
+MAX_SECONDS = 366.0 * 86_400
 
 
 def unite(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -130,17 +130,30 @@ def _stitch(runs: DataFrame) -> DataFrame:
     return edges.withColumns({"island_start": F.min("start_u").over(whole), "island_end": F.max("end_u").over(whole)})
 
 
-def continuous_periods(df: DataFrame, entity: str, start: str, end: str, units_per_second: int = 1000) -> DataFrame:
+def _sound(start: str, end: str, max_seconds: float) -> Column:
+    s, e = F.col(start).cast("double"), F.col(end).cast("double")
+    return (F.abs(s) <= max_seconds) & (F.abs(e) <= max_seconds) & (e > s)
+
+
+def beyond_bounds(df: DataFrame, start: str, end: str, max_seconds: float = MAX_SECONDS) -> DataFrame:
+    """(rows): how many rows with known, finite times in order are left out because a time lies beyond ``max_seconds``."""
+    s, e = F.col(start).cast("double"), F.col(end).cast("double")
+    finite = (F.abs(s) < float("inf")) & (F.abs(e) < float("inf")) & (e > s)
+    return df.where(finite & ~_sound(start, end, max_seconds)).agg(F.count(F.lit(1)).alias("rows"))
+
+
+def continuous_periods(df: DataFrame, entity: str, start: str, end: str, units_per_second: int = 1000, max_seconds: float = MAX_SECONDS) -> DataFrame:
     """Periods covered by the rows' intervals and the gaps between successive periods, per entity.
 
     ``start`` and ``end`` are seconds; they are rounded to ``1 / units_per_second``. Intervals that overlap or
     exactly touch belong to one period. Rows with a null entity, a null, infinite or not-a-number time, or an end
-    that isn't after the start take no part; repeated rows change nothing; an empty table gives an empty result.
+    that isn't after the start take no part, nor do rows with a time beyond ``max_seconds``, which bounds the shards that one row can fall
+    into (:func:`beyond_bounds` counts such rows); repeated rows change nothing; an empty table gives an empty result.
     Only the three named columns are read, so other columns may have any name.
 
     Returns (entity string, kind string, start_u bigint, end_u bigint), one row per period and gap."""
     a, b = F.col(start).cast("double") * units_per_second, F.col(end).cast("double") * units_per_second
-    sound = (F.abs(a) < MAX_UNIT) & (F.abs(b) < MAX_UNIT) & (F.col(end) > F.col(start))
+    sound = _sound(start, end, max_seconds)
     units = df.where(sound).select(F.col(entity).alias("entity"), F.round(a).cast("bigint").alias("a"), F.round(b).cast("bigint").alias("b"))
     runs = cut_lineage(shard_runs(units, "entity", "a", "b"))
     edges = _stitch(runs)
@@ -152,14 +165,14 @@ def continuous_periods(df: DataFrame, entity: str, start: str, end: str, units_p
     return inner.unionByName(stitched).unionByName(across)
 
 
-def period_members(df: DataFrame, entity: str, key: str, start: str, end: str, payload: list[str], units_per_second: int = 1000) -> DataFrame:
+def period_members(df: DataFrame, entity: str, key: str, start: str, end: str, payload: list[str], units_per_second: int = 1000, max_seconds: float = MAX_SECONDS) -> DataFrame:
     """Every usable interval with the period it lies in: (entity, key, start_u, end_u, payload..., period_start_u, period_end_u).
 
     In order of (start_u, end_u, key) within a period, the rows give its contents in order. Each interval meets
     only the runs of its own first shard: runs and intervals are sorted together there and the latest run's
     period is carried forward, so nothing is paired."""
     a, b = F.col(start).cast("double") * units_per_second, F.col(end).cast("double") * units_per_second
-    sound = (F.abs(a) < MAX_UNIT) & (F.abs(b) < MAX_UNIT) & (F.col(end) > F.col(start)) & F.col(entity).isNotNull()
+    sound = _sound(start, end, max_seconds) & F.col(entity).isNotNull()
     items = df.where(sound).select(F.col(entity).cast("string").alias("entity"), F.col(key).alias("key"), F.round(a).cast("bigint").alias("start_u"), F.round(b).cast("bigint").alias("end_u"), F.struct(*payload).alias("load"))
     runs = cut_lineage(shard_runs(items, "entity", "start_u", "end_u"))
     edges = _stitch(runs).select("entity", "shard", "start_u", F.col("island_start").alias("ps"), F.col("island_end").alias("pe"))

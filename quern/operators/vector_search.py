@@ -86,7 +86,7 @@ def _dense_top_each(points: DataFrame, query: DataFrame, k: int) -> DataFrame:
         keys = np.array(group.column("key").to_pylist(), dtype=object)[~asks]
         cols: list[list] = [[], [], []]
         if len(queries) and len(keys):
-            m = np.array(group.column("v").to_pylist(), dtype=np.float64)
+            m = group.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(group.num_rows, -1)
             m /= np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
             order = np.argsort(keys, kind="stable")
             sims = np.round(m[asks] @ m[~asks][order].T, 9)
