@@ -13,6 +13,8 @@ from quern.functions.names import acronym_id, node_id
 SEQUENTIAL, REFERENCE_ONE, REFERENCE_VAGUE, REFERENCE_MANY, DEFINED, USED = 1.0, 1.0, 0.6, 0.7, 1.0, 0.9
 VAGUE = ("previous", "above", "before", "earlier")
 NEW_TAGS = 2
+#: Chunks in one row of a lane's mapping.
+PAGE_CHUNKS = 1000
 
 
 def semantic_nodes(maps: DataFrame) -> DataFrame:
@@ -119,9 +121,13 @@ def tag_edges(tags: DataFrame) -> DataFrame:
 
 
 def lane_mapping(nodes: DataFrame, edges: DataFrame, kind: str) -> DataFrame:
-    """(node_id, value, frequency, chunks array<struct<chunk, weight, frequency>>): every node of a lane with its chunks."""
-    lists = edges.where(F.col("type") == kind).groupBy("node_id").agg(F.sum("frequency").alias("frequency"), F.array_sort(F.collect_list(F.struct("chunk", "weight", "frequency"))).alias("chunks"))
-    return nodes.where(F.col("type") == kind).select("node_id", "value").join(lists, "node_id")
+    """(node_id, value, frequency, page bigint, chunks array<struct<chunk, weight, frequency>>): every node of a lane with its chunks, in as many
+    pages of about PAGE_CHUNKS chunks as they fill, so that a node which a third of all chunks have isn't gathered in one row."""
+    mine = edges.where(F.col("type") == kind)
+    sizes = mine.groupBy("node_id").agg(F.sum("frequency").alias("frequency"), F.ceil(F.count(F.lit(1)) / PAGE_CHUNKS).alias("pages"))
+    paged = mine.join(sizes.select("node_id", "pages"), "node_id").withColumn("page", F.pmod(F.xxhash64("chunk"), F.col("pages")).cast("bigint"))
+    lists = paged.groupBy("node_id", "page").agg(F.array_sort(F.collect_list(F.struct("chunk", "weight", "frequency"))).alias("chunks"))
+    return nodes.where(F.col("type") == kind).select("node_id", "value").join(sizes.select("node_id", "frequency"), "node_id").join(lists, "node_id")
 
 
 def duplicate_ids(nodes: DataFrame, key: str = "node_id") -> DataFrame:

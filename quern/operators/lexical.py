@@ -23,12 +23,14 @@ ACRONYM_WEIGHT = 0.9
 TYPE_RANK = {"entity": 0, "concept": 1, "keyword": 2, "phrase": 3, "acronym": 4}
 ENTITY_RUN = r"\b[A-Z][a-zA-Z]{2,}(?:\s+[A-Z][a-zA-Z]{2,})*\b"
 DEFINITION = r"\b([A-Z][a-z]+(?:\s+[A-Z][a-z]+)+)\s*\(([A-Z]{2,6})\)"
-CHUNKS_PER_BUFFER = 50
+CHUNKS_PER_BUFFER, MAX_BUFFER = 50, 1000
 
 
 def scoped(chunks: DataFrame) -> DataFrame:
-    """Chunks with their scope. A chunk without a buffer number falls into one of fifty successive chunk numbers."""
-    buf = F.coalesce(F.col("file_chunk_number").cast("bigint"), -1 - F.floor(F.coalesce("chunk_number", F.lit(0)) / CHUNKS_PER_BUFFER))
+    """Chunks with their scope. A chunk without a buffer number falls into one of fifty successive chunk numbers; a buffer that spans more
+    than MAX_BUFFER chunk numbers is divided at their multiples, so that no scope grows with its document."""
+    number = F.coalesce("chunk_number", F.lit(0))
+    buf = F.coalesce(F.col("file_chunk_number").cast("bigint") + F.floor(number / MAX_BUFFER) * F.lit(1 << 32), -1 - F.floor(F.coalesce("chunk_number", F.lit(0)) / CHUNKS_PER_BUFFER))
     return chunks.where("document_id is not null").select(F.col("document_id").alias("doc"), buf.alias("buf"), F.col("chunk_id").alias("chunk"), F.col("chunk_number").alias("number"), F.coalesce("text", F.lit("")).alias("text"))
 
 

@@ -11,6 +11,7 @@ from quern.functions import lexicon
 from quern.operators import graph, lexical
 from quern.plans.catalog_queries import CHUNKS, UP, chunk_rows, uploads
 from quern.plans.source_queries import SEGMENTS, segments
+from quern.plans.stored import stored
 from quern.runtime import table
 
 # Definitions of acronyms, which the tables lack.
@@ -78,6 +79,11 @@ def lex_node_maps(spark, d):
     return _maps(spark, d)
 
 
+def node_maps(spark, d):
+    """The labels that link chunks, as the graph's lookups read them: written once (see ``stored``)."""
+    return stored(spark, d, "node_maps", lambda: _maps(spark, d))
+
+
 def query_analysis_lanes(spark, d):
     """Lanes of every segment's topic as a query."""
     q = segments(spark, d).where("topic_summary is not null").select("segment_id", F.col("topic_summary").alias("q"))
@@ -97,11 +103,11 @@ def normalize_queries(spark, d):
 
 
 def graph_semantic_nodes(spark, d):
-    return graph.semantic_nodes(_maps(spark, d))
+    return graph.semantic_nodes(node_maps(spark, d))
 
 
 def graph_semantic_edges(spark, d):
-    return graph.semantic_edges(_maps(spark, d), lexical_input(spark, d))
+    return graph.semantic_edges(node_maps(spark, d), lexical_input(spark, d))
 
 
 def graph_acronym_edges(spark, d):
@@ -156,7 +162,7 @@ def graph_children(spark, d):
 
 def graph_unique_ids(spark, d):
     """Nodes per type and how many of their ids occur more than once."""
-    nodes = graph.semantic_nodes(_maps(spark, d))
+    nodes = graph.semantic_nodes(node_maps(spark, d))
     dup = graph.duplicate_ids(nodes).groupBy("type").agg(F.count(F.lit(1)).alias("duplicates"))
     return nodes.groupBy("type").agg(F.count(F.lit(1)).alias("nodes")).join(dup, "type", "left").select("type", "nodes", F.coalesce("duplicates", F.lit(0)).cast("bigint").alias("duplicates"))
 
@@ -164,25 +170,25 @@ def graph_unique_ids(spark, d):
 def graph_chunks_by_keyword(spark, d):
     from hashlib import md5
 
-    return graph.chunks_by_node(graph.semantic_edges(_maps(spark, d)), md5(FREQUENT.encode()).hexdigest(), "keyword")
+    return graph.chunks_by_node(graph.semantic_edges(node_maps(spark, d)), md5(FREQUENT.encode()).hexdigest(), "keyword")
 
 
 def graph_list_keywords(spark, d):
     from quern.operators.catalog import page
 
-    return page(graph.list_nodes(graph.semantic_nodes(_maps(spark, d)), "keyword", LANE_SAMPLE[:2]), [F.desc("frequency"), F.asc("value")], 20, 1).select("node_id", "value", "frequency")
+    return page(graph.list_nodes(graph.semantic_nodes(node_maps(spark, d)), "keyword", LANE_SAMPLE[:2]), [F.desc("frequency"), F.asc("value")], 20, 1).select("node_id", "value", "frequency")
 
 
 def graph_list_counts(spark, d):
     """Nodes of each type whose value contains the needle, with the number of pages."""
-    nodes = graph.semantic_nodes(_maps(spark, d)).where(F.contains("value", F.lit(LANE_SAMPLE[:2])))
+    nodes = graph.semantic_nodes(node_maps(spark, d)).where(F.contains("value", F.lit(LANE_SAMPLE[:2])))
     return nodes.groupBy("type").agg(F.count(F.lit(1)).alias("total")).withColumn("total_pages", F.ceil(F.col("total") / 20).cast("bigint"))
 
 
 def graph_lane_mapping(spark, d):
-    maps = _maps(spark, d)
+    maps = node_maps(spark, d)
     m = graph.lane_mapping(graph.semantic_nodes(maps), graph.semantic_edges(maps), "entity")
-    return m.select("node_id", "value", "frequency", F.array_join(F.transform("chunks", lambda x: x["chunk"]), "|").alias("chunks"))
+    return m.select("node_id", "value", "frequency", "page", F.array_join(F.transform("chunks", lambda x: x["chunk"]), "|").alias("chunks"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -192,7 +198,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 _STOP = "[" + ", ".join(f"'{w}'" for w in lexicon.STOP_WORDS) + "]"
 _FIX = ", ".join(f"('{a}', {b}, '{c}', {n}, '{t}')" for a, b, c, n, t in FIXTURE)
-SC = f"""sc AS (SELECT document_id AS doc, coalesce(file_chunk_number::BIGINT, -1 - coalesce(chunk_number, 0) // 50) AS buf, chunk_id AS chunk, chunk_number AS number, coalesce(text, '') AS text FROM {CHUNKS} WHERE document_id IS NOT NULL
+SC = f"""sc AS (SELECT document_id AS doc, coalesce(file_chunk_number::BIGINT + coalesce(chunk_number, 0) // 1000 * 4294967296, -1 - coalesce(chunk_number, 0) // 50) AS buf, chunk_id AS chunk, chunk_number AS number, coalesce(text, '') AS text FROM {CHUNKS} WHERE document_id IS NOT NULL
       UNION ALL SELECT * FROM (VALUES {_FIX}) f(doc, buf, chunk, number, text))"""
 
 
@@ -286,5 +292,5 @@ ORACLE: dict[str, str] = {
     "graph_chunks_by_keyword": f"{_MAPS} SELECT chunk FROM sem WHERE type = 'keyword' AND node_id = md5('{FREQUENT}')",
     "graph_list_keywords": f"{_MAPS} SELECT node_id, value, frequency FROM nodes WHERE type = 'keyword' AND contains(value, '{LANE_SAMPLE[:2]}') ORDER BY frequency DESC, value LIMIT 20",
     "graph_list_counts": f"{_MAPS} SELECT type, count(*) AS total, ceil(count(*) / 20.0)::BIGINT AS total_pages FROM nodes WHERE contains(value, '{LANE_SAMPLE[:2]}') GROUP BY 1",
-    "graph_lane_mapping": f"{_MAPS} SELECT n.node_id, value, sum(s.frequency)::BIGINT AS frequency, string_agg(chunk, '|' ORDER BY chunk) AS chunks FROM nodes n JOIN sem s ON s.node_id = n.node_id AND s.type = n.type WHERE n.type = 'entity' GROUP BY ALL",
+    "graph_lane_mapping": f"{_MAPS} SELECT n.node_id, value, sum(s.frequency)::BIGINT AS frequency, 0 AS page, string_agg(chunk, '|' ORDER BY chunk) AS chunks FROM nodes n JOIN sem s ON s.node_id = n.node_id AND s.type = n.type WHERE n.type = 'entity' GROUP BY ALL",
 }

@@ -9,9 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quern.operators import catalog, chunking, graph, lexical
+from quern.operators import catalog, chunking, graph
 from quern.plans.catalog_queries import CHUNKS, UP, chunk_rows, uploads
-from quern.plans.lexical_queries import _MAPS, lexical_input
+from quern.plans.lexical_queries import _MAPS, lexical_input, node_maps
 from quern.plans.source_queries import SEGMENTS, segments
 from quern.plans.vector_queries import _LEGS, K, _hybrid
 from quern.runtime import table
@@ -60,7 +60,7 @@ def response_json(spark, d):
 
 
 def _maps(spark, d):
-    return lexical.node_maps(lexical.strongest_edges(lexical.bridge_edges(lexical_input(spark, d))))
+    return node_maps(spark, d)
 
 
 def graph_chunks_by_nodes(spark, d):

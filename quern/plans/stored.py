@@ -2,24 +2,32 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.runtime import cut_lineage
+from quern.runtime import checkpoint_folder
 
-_tables: dict[tuple[str, str, str], DataFrame] = {}
+_paths: dict[tuple[str, str, str], str] = {}
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
 
 
 def stored(spark: SparkSession, d: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
-    """The table ``name`` of directory ``d``, built and written in the checkpoint folder when first asked for. The tables of a directory
-    are taken not to change within a session; :func:`forget` drops what is known of them."""
+    """The table ``name`` of directory ``d``: built and written below the checkpoint folder when first asked for, and again if it has been
+    removed there. The tables of a directory are taken not to change within a session; :func:`forget` drops what is known of them."""
     key = (spark.sparkContext.applicationId, d, name)
-    if key not in _tables:
-        _tables[key] = cut_lineage(build())
-    return _tables[key]
+    if key not in _paths or not _exists(spark, _paths[key]):
+        path = f"{checkpoint_folder(spark)}/{name}-{uuid.uuid4()}"
+        build().write.parquet(path)
+        _paths[key] = path
+    return spark.read.parquet(_paths[key])
 
 
 def forget(d: str | None = None) -> None:
-    for key in [k for k in _tables if d is None or k[1] == d]:
-        del _tables[key]
+    for key in [k for k in _paths if d is None or k[1] == d]:
+        del _paths[key]

@@ -8,12 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.functions.lexicon import content_words
-from quern.operators import graph, lexical
+from quern.operators import graph
 from quern.operators import vector_search as vs
 from quern.plans import retrieval
 from quern.plans.catalog_queries import CHUNKS, UP, chunk_rows, uploads
-from quern.plans.lexical_queries import SC, _MAPS, _words, lexical_input
-from quern.plans.stored import stored
+from quern.plans.lexical_queries import SC, _MAPS, _words, lexical_input, node_maps
 from quern.runtime import cut_lineage, table
 
 DIM, K = 96, 10
@@ -151,7 +150,7 @@ def expert_fusion(spark, d):
 
 
 def _semantic(spark, d):
-    maps = stored(spark, d, "node_maps", lambda: lexical.node_maps(lexical.strongest_edges(lexical.bridge_edges(lexical_input(spark, d)))))
+    maps = node_maps(spark, d)
     return graph.semantic_nodes(maps), graph.semantic_edges(maps)
 
 
