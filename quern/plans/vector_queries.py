@@ -7,12 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.functions.lexicon import content_words
+from quern.functions.lexicon import TECHNICAL_START, content_words
 from quern.operators import graph
 from quern.operators import vector_search as vs
 from quern.plans import retrieval
 from quern.plans.catalog_queries import CHUNKS, UP, chunk_rows, uploads
-from quern.plans.lexical_queries import SC, _MAPS, _words, lexical_input, node_maps
+from quern.plans.lexical_queries import _STOP, SC, _MAPS, _words, lexical_input, node_maps
 from quern.runtime import cut_lineage, table
 
 DIM, K = 96, 10
@@ -301,9 +301,14 @@ _RERANKED = _FOLD.format(by="rerank_score", rows="rk")
 _LANE_HITS = f"""nw AS (SELECT node_id, type, list_distinct(regexp_split_to_array(value, '[\\s_-]+')) AS w FROM nodes),
     sm AS (SELECT node_id, type, len(list_intersect(w, {_Q})) / sqrt(len(w) * len({_Q})) AS s FROM nw WHERE len(list_intersect(w, {_Q})) > 0),
     lane AS (SELECT chunk AS key, round(max(s * weight), 6) AS score FROM sm JOIN sem USING (node_id, type) WHERE weight >= 0.7 GROUP BY 1 ORDER BY score DESC, key LIMIT {retrieval.LANE_CHUNKS})"""
+_BEST_LANES = f"""asked AS (SELECT list_filter(string_split('{QUESTION}', ' '), lambda t: NOT list_contains({_STOP}, t)) AS t),
+    best_lanes AS (SELECT lane FROM (SELECT i, lane, CASE lane WHEN 'tag' THEN (len(t) = 1)::INT * 1.0 WHEN 'keyword' THEN (len(t) = 1)::INT * 2.0 + (len(t) > 2)::INT * 0.5 + len(list_filter(t, lambda x: regexp_matches(x, '{TECHNICAL_START}'))) * 0.8 WHEN 'concept' THEN (len(t) > 2)::INT * 1.5 ELSE 0 END AS s
+      FROM asked, (VALUES (0, 'tag'), (1, 'keyword'), (2, 'phrase'), (3, 'entity'), (4, 'concept'), (5, 'acronym')) v(i, lane)) ORDER BY s DESC, i LIMIT {retrieval.LANE_COUNT}),
+    analysed AS (SELECT chunk AS key, round(max(s * weight), 6) AS score FROM sm JOIN sem USING (node_id, type) WHERE weight >= 0.7 AND type IN (SELECT lane FROM best_lanes) GROUP BY 1 ORDER BY score DESC, key LIMIT {retrieval.LANE_CHUNKS})"""
 _FUSED = f"""src AS (SELECT key, 'points' AS source, score FROM rr WHERE score >= 0.45 UNION ALL SELECT key, 'lexical', score FROM lane),
     nm2 AS (SELECT key, CASE WHEN max(score) OVER w > min(score) OVER w THEN (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) ELSE 1.0 END AS score FROM src WINDOW w AS (PARTITION BY source)),
     g AS (SELECT key, score FROM (SELECT key, count(*) AS sources, round(sum(score), 6) AS score FROM nm2 GROUP BY key) ORDER BY sources DESC, score DESC, key LIMIT {retrieval.EXPERT_CHUNKS})"""
+_FUSED_ADV = _FUSED.replace("FROM lane)", "FROM lane UNION ALL SELECT key, 'analysis', score FROM analysed)")
 
 ORACLE: dict[str, str] = {
     "rerank_local": f"{_HITS}, g AS (SELECT * FROM rr), {_PLAN} SELECT key, rerank_score, round(score, 6) AS score FROM rk",
@@ -314,6 +319,7 @@ ORACLE: dict[str, str] = {
     "plan_smart": f"{_HITS}, {_GATED}, {_PLAN}, {_RERANKED}, {_SIM_ONLY}, " + _ISLANDS.format(more=""),
     "plan_smart_adv": f"{_HITS}, {_GATED}, {_PLAN}, {_RERANKED}, {_SIM_ONLY}, " + _ISLANDS.format(more=_AROUND),
     "plan_expert": _MAPS.replace("WITH ", "WITH RECURSIVE ", 1) + ", " + _HITS.split(f"{SC}, ", 1)[1] + f", {_LANE_HITS}, {_FUSED}, {_PLAN}, {_RERANKED}, {_SIM_ONLY}, " + _ISLANDS.format(more=""),
+    "plan_expert_adv": _MAPS.replace("WITH ", "WITH RECURSIVE ", 1) + ", " + _HITS.split(f"{SC}, ", 1)[1] + f", {_LANE_HITS}, {_BEST_LANES}, {_FUSED_ADV}, {_PLAN}, {_RERANKED}, {_SIM_ONLY}, " + _ISLANDS.format(more=_AROUND),
     "vec_inject_join": f"WITH {SC}, {_DENSE}, {_SPARSE} SELECT chunk, doc, v IS NOT NULL AS has_dense, coalesce(n, 0) AS n_terms FROM sc LEFT JOIN dense ON dense.key = chunk LEFT JOIN (SELECT key, count(*) AS n FROM sparse GROUP BY 1) s ON s.key = chunk",
     "vec_inject_strict": f"WITH {SC}, {_DENSE}, {_SPARSE} SELECT chunk, n AS n_terms FROM sc JOIN dense ON dense.key = chunk JOIN (SELECT key, count(*) AS n FROM sparse GROUP BY 1) s ON s.key = chunk",
     "vec_cosine_topk": _LEGS.replace('{k}', str(K)) + " SELECT key, round(score, 6) AS score FROM dt",
