@@ -83,7 +83,7 @@ def json_shapes(spark, d):
 
 
 def xml_record_fields(spark, d):
-    return structured.xml_records(chunk_rows(spark, d, "text"), "chunk_id", "text", "record").select(F.col("key").alias("chunk_id"), F.col("record").cast("bigint").alias("record"), "field", "value")
+    return structured.xml_records(chunk_rows(spark, d, "text"), "chunk_id", "text").select(F.col("key").alias("chunk_id"), F.col("record").cast("bigint").alias("record"), "field", "value")
 
 
 def xml_record_tags(spark, d):

@@ -189,7 +189,7 @@ def context_islands(spark, d):
     hit = chunks.where(F.contains(F.lower("text"), F.lit("reactor"))).select("doc", "number")
     near = hit.select("doc", F.explode(F.array(F.struct(F.col("number").alias("n"), F.lit(0).alias("p")), F.struct((F.col("number") - 1).alias("n"), F.lit(1).alias("p")), F.struct((F.col("number") + 1).alias("n"), F.lit(1).alias("p")))).alias("x"))
     parts = near.select("doc", F.col("x.n").alias("number"), F.col("x.p").alias("priority")).join(chunks.select("doc", "number", "text"), ["doc", "number"])
-    return retrieval.context_islands(parts).select("doc", "first", "last", "n", F.length("text").cast("bigint").alias("n_chars"))
+    return retrieval.context_islands(parts).select("doc", "first", "last", "n", "text")
 
 
 def metadata_dedupe(spark, d):
@@ -347,6 +347,6 @@ ORACLE: dict[str, str] = {
     WITH {SC}, hit AS (SELECT doc, number FROM sc WHERE contains(lower(text), 'reactor')),
     near AS (SELECT DISTINCT doc, number FROM (SELECT doc, number FROM hit UNION ALL SELECT doc, number - 1 FROM hit UNION ALL SELECT doc, number + 1 FROM hit) JOIN sc USING (doc, number)),
     t AS (SELECT n.doc, n.number, text, n.number - row_number() OVER (PARTITION BY n.doc ORDER BY n.number) AS g FROM near n JOIN sc ON sc.doc = n.doc AND sc.number = n.number)
-    SELECT doc, min(number) AS first, max(number) AS last, count(*) AS n, (sum(length(text)) + count(*) - 1)::BIGINT AS n_chars FROM t GROUP BY doc, g""",
+    SELECT doc, min(number) AS first, max(number) AS last, count(*) AS n, string_agg(text, chr(10) ORDER BY number) AS text FROM t GROUP BY doc, g""",
     "metadata_dedupe": "SELECT user_id AS key, string_agg(DISTINCT event_type, '|' ORDER BY event_type) AS sources, round(arg_min(value, (event_id, event_type)), 6) AS score FROM events GROUP BY 1",
 }

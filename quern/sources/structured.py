@@ -135,21 +135,31 @@ def xml_edges(df: DataFrame, key: str, text: str) -> DataFrame:
     return df.select(F.col(key).cast("string"), text).mapInArrow(run, "key string, parent string, child string, position bigint")
 
 
-def xml_records(df: DataFrame, key: str, text: str, tag: str) -> DataFrame:
-    """(key, record, field, value): direct children of every ``tag`` element, children of those as ``parent.child``; attributes
+def xml_records(df: DataFrame, key: str, text: str, tag: str | None = None) -> DataFrame:
+    """(key, record, field, value): direct children of every ``tag`` element (by default the element that :func:`record_tag` finds in each
+    text), children of those as ``parent.child``; attributes
     and deeper levels are left out; of equal names in a record the last counts."""
-    bodies = F.regexp_extract_all(F.col(text), F.lit(rf"(?s)<{tag}(?:\s[^<>]*)?>(.*?)</{tag}>"), 1)
-    records = df.where(F.col(text).isNotNull()).select(F.col(key).alias("key"), F.posexplode(bodies).alias("record", "body"))
+    known = df.where(F.col(text).isNotNull()).select(F.col(key).alias("key"), F.col(text).alias("__text"))
+    if tag is None:
+        found = record_tag(xml_edges(known, "key", "__text"), ["key"]).select(F.col("key").alias("__key"), F.col("tag").alias("__tag"))
+        known = known.join(found, F.col("key").cast("string") == F.col("__key"))
+    else:
+        known = known.withColumn("__tag", F.lit(tag))
+    # quoted, since names may hold dots
+    name = F.concat(F.lit(r"\Q"), "__tag", F.lit(r"\E"))
+    bodies = F.regexp_extract_all(F.regexp_replace("__text", r"(?s)<!--.*?-->", ""), F.concat(F.lit("(?s)<"), name, F.lit(r"(?:\s[^<>]*)?>(.*?)</"), name, F.lit(">")), 1)
+    records = known.select("key", F.posexplode(bodies).alias("record", "body"))
 
     def fields(body: str | None):
         out: dict[str, str] = {}
+        cdata = re.compile(r"(?s)<!\[CDATA\[(.*?)\]\]>")
         item = re.compile(r"(?s)<([A-Za-z_][\w.:-]*)(?:\s[^<>]*)?(?:/>|>(.*?)</\1>)")
         for m in item.finditer(body or ""):
             inner = list(item.finditer(m[2] or ""))
             if inner:
                 out |= {f"{m[1]}.{n[1]}": n[2].strip() for n in inner if n[2] and "<" not in n[2]}
             else:
-                out[m[1]] = (m[2] or "").strip()
+                out[m[1]] = cdata.sub(r"\1", m[2] or "").strip()
         return [{"k": k, "v": v} for k, v in out.items()]
 
     entries = _pandas_udf(fields, KV)(F.col("body"))
