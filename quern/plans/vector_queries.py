@@ -38,7 +38,8 @@ def question_terms(spark: SparkSession, question: str = QUESTION) -> DataFrame:
 
 def asked(rows: DataFrame) -> DataFrame:
     """The rows that ask as queries: those whose id's hash is divisible by 100."""
-    return rows.where(F.pmod(F.xxhash64("key"), F.lit(100)) == 0).withColumnRenamed("key", "query")
+    digits = F.conv(F.substring(F.md5(F.col("key").cast("binary")), 1, 8), 16, 10).cast("bigint")
+    return rows.where(digits % 100 == 0).withColumnRenamed("key", "query")
 
 
 def asked_terms(sparse: DataFrame) -> DataFrame:
@@ -301,6 +302,13 @@ _RERANKED = _FOLD.format(by="rerank_score", rows="rk")
 _LANE_HITS = f"""nw AS (SELECT node_id, type, list_distinct(regexp_split_to_array(value, '[\\s_-]+')) AS w FROM nodes),
     sm AS (SELECT node_id, type, len(list_intersect(w, {_Q})) / sqrt(len(w) * len({_Q})) AS s FROM nw WHERE len(list_intersect(w, {_Q})) > 0),
     lane AS (SELECT chunk AS key, round(max(s * weight), 6) AS score FROM sm JOIN sem USING (node_id, type) WHERE weight >= 0.7 GROUP BY 1 ORDER BY score DESC, key LIMIT {retrieval.LANE_CHUNKS})"""
+_ASKS = "('0x' || md5({c})[1:8])::BIGINT % 100 = 0"
+_EACH = f"""WITH {SC}, {_DENSE}, {_SPARSE},
+    dt AS (SELECT a.key AS query, b.key, round(list_cosine_similarity(a.v, b.v), 9) AS score FROM dense a, dense b WHERE {_ASKS.format(c='a.key')} QUALIFY row_number() OVER (PARTITION BY a.key ORDER BY round(list_cosine_similarity(a.v, b.v), 9) DESC, b.key) <= {K}),
+    sd AS (SELECT a.key AS query, b.key, round(sum(b.weight), 9) AS score FROM sparse a JOIN sparse b USING (term) WHERE {_ASKS.format(c='a.key')} GROUP BY ALL),
+    st AS (SELECT * FROM sd QUALIFY row_number() OVER (PARTITION BY query ORDER BY score DESC, key) <= {K}),
+    rs AS (SELECT query, key, round(sum(s), 9) AS score FROM (SELECT query, key, 1.0::DOUBLE / (1 + row_number() OVER (PARTITION BY query ORDER BY score DESC, key)) AS s FROM dt UNION ALL SELECT query, key, 1.0::DOUBLE / (1 + row_number() OVER (PARTITION BY query ORDER BY score DESC, key)) FROM st) GROUP BY ALL),
+    rr AS (SELECT * FROM rs QUALIFY row_number() OVER (PARTITION BY query ORDER BY score DESC, key) <= {K})"""
 _BEST_LANES = f"""asked AS (SELECT list_filter(string_split('{QUESTION}', ' '), lambda t: NOT list_contains({_STOP}, t)) AS t),
     best_lanes AS (SELECT lane FROM (SELECT i, lane, CASE lane WHEN 'tag' THEN (len(t) = 1)::INT * 1.0 WHEN 'keyword' THEN (len(t) = 1)::INT * 2.0 + (len(t) > 2)::INT * 0.5 + len(list_filter(t, lambda x: regexp_matches(x, '{TECHNICAL_START}'))) * 0.8 WHEN 'concept' THEN (len(t) > 2)::INT * 1.5 ELSE 0 END AS s
       FROM asked, (VALUES (0, 'tag'), (1, 'keyword'), (2, 'phrase'), (3, 'entity'), (4, 'concept'), (5, 'acronym')) v(i, lane)) ORDER BY s DESC, i LIMIT {retrieval.LANE_COUNT}),
@@ -311,6 +319,9 @@ _FUSED = f"""src AS (SELECT key, 'points' AS source, score FROM rr WHERE score >
 _FUSED_ADV = _FUSED.replace("FROM lane)", "FROM lane UNION ALL SELECT key, 'analysis', score FROM analysed)")
 
 ORACLE: dict[str, str] = {
+    "vec_cosine_topk_each": f"{_EACH} SELECT query, key, round(score, 6) AS score FROM dt",
+    "vec_sparse_dot_topk_each": f"{_EACH} SELECT query, key, round(score, 6) AS score FROM st",
+    "vec_rrf_each": f"{_EACH} SELECT query, key, round(score, 6) AS score FROM rr",
     "rerank_local": f"{_HITS}, g AS (SELECT * FROM rr), {_PLAN} SELECT key, rerank_score, round(score, 6) AS score FROM rk",
     "neighbour_dedupe": f"{_HITS}, g AS (SELECT key, round(score, 6) AS score FROM rr), {_PLAN}, {_FOLD.format(by='score', rows='x')} SELECT key, score, prev_chunk, next_chunk FROM kept",
     "plan_quick": f"""{_HITS}, {_GATED}, {_PLAN}, {_RERANKED}
