@@ -20,9 +20,10 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_nearest(spark: SparkSession, d: str) -> DataFrame:
-    """The five most similar of all vectors for every chunk whose id's hash is divisible by 100."""
+    """The five most similar of all vectors for every chunk whose id, by its MD5, is divisible by 100."""
     every = table(spark, d, "chunk_embeddings")
-    asked = every.where(F.pmod(F.xxhash64("chunk_id"), F.lit(100)) == 0)
+    digits = F.conv(F.substring(F.md5(F.col("chunk_id").cast("binary")), 1, 8), 16, 10).cast("bigint")
+    asked = every.where(digits % 100 == 0)
     return vectors.nearest_for_queries(every, asked, "chunk_id", "embedding", DIM, K).select(F.col("id").alias("chunk_id"), "neighbour", F.round("similarity", 6).alias("similarity"), "rank")
 
 
@@ -152,6 +153,11 @@ ORACLE: dict[str, str] = {
     pairs AS (SELECT a.chunk_id AS q, b.chunk_id AS n, list_cosine_similarity(a.v, b.v) AS s FROM u a JOIN u b ON a.chunk_id <> b.chunk_id),
     top AS (SELECT q, n, s FROM pairs QUALIFY row_number() OVER (PARTITION BY q ORDER BY round(s, 12) DESC, n) <= {K})
     SELECT DISTINCT least(q, n) AS chunk_id_a, greatest(q, n) AS chunk_id_b FROM top WHERE s >= {LEAST_COSINE}""",
+    "p1_nearest": f"""
+    WITH u AS ({_USABLE}),
+    pairs AS (SELECT a.chunk_id, b.chunk_id AS neighbour, list_cosine_similarity(a.v, b.v) AS s FROM u a JOIN u b ON a.chunk_id <> b.chunk_id WHERE ('0x' || md5(a.chunk_id)[1:8])::BIGINT % 100 = 0)
+    SELECT chunk_id, neighbour, round(s, 6) AS similarity, row_number() OVER (PARTITION BY chunk_id ORDER BY round(s, 12) DESC, neighbour) AS rank FROM pairs
+    QUALIFY row_number() OVER (PARTITION BY chunk_id ORDER BY round(s, 12) DESC, neighbour) <= {K}""",
     "p3_found": """
     SELECT DISTINCT chunk_id FROM chunks JOIN project_variables USING (project_id)
     WHERE chunk_id IS NOT NULL AND max_chunk_size_mb > 0 AND strlen(text) > floor(max_chunk_size_mb * 1048576)""",
