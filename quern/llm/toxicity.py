@@ -30,7 +30,7 @@ from quern.llm.voters import BIT, CLASSES, KNOWN, VOTERS, compiled, gates, word_
 
 #: At most so many documents fit the models; all are scored. Of their sentences without a vote, one in QUIET_EVERY is used.
 FIT_DOCUMENTS = 20_000
-QUIET_EVERY = 8
+QUIET_EVERY = 24
 FEATURES = 1 << 17
 FLAGGED = 0.5
 #: A vote counts as so many features of a sentence.
