@@ -212,7 +212,7 @@ def _fit(vectors: DataFrame, n: int, cells: int, dim: int) -> np.ndarray:
     sample = unit_rows(np.frombuffer(b"".join(v for _, v in rows), dtype="<f4").reshape(-1, dim)).astype(np.float32)
     centres = sample[np.random.default_rng(3).permutation(len(sample))[:cells]].copy()
     for _ in range(FIT_ROUNDS):
-        nearest = np.concatenate([(sample[i : i + 2048] @ centres.T).argmax(axis=1) for i in range(0, len(sample), 2048)])
+        nearest = nearest_cells(sample, centres, 1)[:, 0]
         sums = np.zeros_like(centres)
         np.add.at(sums, nearest, sample)
         length = np.linalg.norm(sums, axis=1)
@@ -279,9 +279,12 @@ def _once(batches: Iterator[pa.RecordBatch], dim: int) -> Iterator[tuple[np.ndar
 
 def nearest_cells(unit: np.ndarray, centres: np.ndarray, probes: int) -> np.ndarray:
     """The ``probes`` nearest cells of every vector, nearest first."""
-    sims = unit @ centres.T
-    top = np.argpartition(-sims, probes - 1, axis=1)[:, :probes]
-    return np.take_along_axis(top, np.argsort(-np.take_along_axis(sims, top, axis=1), axis=1), axis=1)
+    out, step = [], max(1, (1 << 22) // len(centres))
+    for lo in range(0, len(unit), step):
+        sims = unit[lo : lo + step] @ centres.T
+        top = np.argpartition(-sims, probes - 1, axis=1)[:, :probes]
+        out.append(np.take_along_axis(top, np.argsort(-np.take_along_axis(sims, top, axis=1), axis=1), axis=1))
+    return np.concatenate(out) if out else np.zeros((0, probes), dtype=np.int64)
 
 
 def _lay_cells(vectors: DataFrame, centres: np.ndarray, dim: int, probes: int) -> DataFrame:
