@@ -41,10 +41,11 @@ def ingest_steps(spark, d):
 
 
 def stream_ingest(spark, d):
-    """The documents as a stream through read, chunk, enrich, inject and advance: how far each got, and what was injected."""
+    """The documents as a stream through read, chunk, enrich, inject and advance: how far each got. A batch's states are written after its
+    points, so what a state tells is injected; blank units give no points, and their documents are completed without."""
     stream = jobs.file_stream(spark, d, "documents").where("doc_id is not null").withColumn("handler", ingest.dispatch(F.col("file_type")))
-    states, points = jobs.ingest(stream, spark)
-    return states.groupBy("key").agg(F.count(F.lit(1)).alias("steps"), F.max(F.struct("step", "publishes"))["publishes"].alias("state"), F.sum("n_units").alias("units")).withColumnRenamed("key", "doc_id").join(points.select(F.col("key").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    states, _ = jobs.ingest(stream, spark)
+    return states.groupBy("key").agg(F.count(F.lit(1)).alias("steps"), F.max(F.struct("step", "publishes"))["publishes"].alias("state"), F.sum("n_units").alias("units")).withColumnRenamed("key", "doc_id")
 
 
 def ocr_markdown_turns(spark, d):

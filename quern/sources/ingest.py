@@ -7,7 +7,7 @@ Steps are planned from the number of units alone, so a document's steps are rows
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Callable
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
@@ -63,27 +63,31 @@ def steps(documents: DataFrame, key: str = "doc_id", text: str = "text", handler
 
     ``cursor`` is where the step starts in the handler's own unit; ``publishes`` names what it sends on: the handler again, or ``completed``
     with the last step. Blank parts are no units. Documents without a handler, and null or unit-less texts, give no step."""
-    plans = []
-    for h in HANDLERS:
-        mine = documents.where((F.col(handler) == h.name) & F.col(text).isNotNull()).select(F.col(key).alias("key"), F.col(text).alias("t"))
-        if h.separator is None:
-            counted = mine.select("key", "t", F.length("t").alias("units"))
-            body = F.substring(F.col("t"), F.col("step") * h.per_step + 1, F.lit(h.per_step))
-            n = F.length(body)
+    by_name = lambda pick: F.create_map(*[F.lit(x) for h in HANDLERS for x in (h.name, pick(h))])[F.col("handler")]
+    mine = documents.select(F.col(key).alias("key"), F.col(handler).alias("handler"), F.col(text).alias("t"))
+    mine = mine.where(F.col("handler").isin(*[h.name for h in HANDLERS]) & F.col("t").isNotNull()).withColumn("per", by_name(lambda h: h.per_step))
+
+    def buffers(units: Column, body: Callable[[Column], Column]) -> Column:
+        last = F.floor((units - 1) / F.col("per")).cast("int")
+        return F.when(units > 0, F.transform(F.sequence(F.lit(0), last), lambda i: F.struct(i.alias("step"), last.alias("last"), units.alias("units"), body(i).alias("body"))))
+
+    # all handlers in one pass: the documents are read once, and a document's parts or length, as a lambda's argument, are told once
+    cuts = []
+    for separator in dict.fromkeys(h.separator for h in HANDLERS):
+        if separator is None:
+            cut = F.transform(F.array(F.length("t")), lambda n: buffers(n, lambda i: F.substring(F.col("t"), i * F.col("per") + 1, F.col("per"))))
         else:
-            parts = F.filter(F.split("t", h.separator), lambda x: F.trim(x) != "")
-            counted = mine.select("key", parts.alias("t")).select("key", "t", F.size("t").alias("units"))
-            cut = F.slice("t", F.col("step") * h.per_step + 1, F.lit(h.per_step))
-            body, n = F.array_join(cut, "\n"), F.size(cut)
-        last = F.floor((F.col("units") - 1) / h.per_step).cast("int")
-        rows = counted.where("units > 0").select("key", "t", "units", last.alias("last"), F.explode(F.sequence(F.lit(0), last)).alias("step"))
-        # the one-character and one-part units of a step; its cursor counts steps where the format's does, else units
-        whole = h.cursor == "file_chunk_number"
-        start = F.col("step") if whole else F.col("step") * h.per_step
-        after = start + 1 if whole else start + n
-        is_last = F.col("step") == F.col("last")
-        plans.append(rows.select("key", F.lit(h.name).alias("handler"), F.col("step").cast("bigint").alias("step"), start.cast("bigint").alias("cursor"), after.cast("bigint").alias("next_cursor"), is_last.alias("is_last"), F.when(is_last, "completed").otherwise(h.name).alias("publishes"), n.cast("bigint").alias("n_units"), body.alias("body")))
-    return reduce(DataFrame.unionByName, plans)
+            parts = F.filter(F.split("t", separator), lambda x: F.trim(x) != "")
+            cut = F.transform(F.array(parts), lambda p: buffers(F.size(p), lambda i: F.array_join(F.slice(p, i * F.col("per") + 1, F.col("per")), "\n")))
+        cuts.append(F.when(F.col("handler").isin(*[h.name for h in HANDLERS if h.separator == separator]), cut[0]))
+    rows = mine.select("key", "handler", "per", F.inline(F.coalesce(*cuts)))
+    # the one-character and one-part units of a step; its cursor counts steps where the format's does, else units
+    n = F.least(F.col("per"), F.col("units") - F.col("step") * F.col("per"))
+    whole = by_name(lambda h: h.cursor == "file_chunk_number")
+    start = F.when(whole, F.col("step")).otherwise(F.col("step") * F.col("per"))
+    after = start + F.when(whole, 1).otherwise(n)
+    is_last = F.col("step") == F.col("last")
+    return rows.select("key", "handler", F.col("step").cast("bigint").alias("step"), start.cast("bigint").alias("cursor"), after.cast("bigint").alias("next_cursor"), is_last.alias("is_last"), F.when(is_last, "completed").otherwise(F.col("handler")).alias("publishes"), n.cast("bigint").alias("n_units"), "body")
 
 
 def chunks_of_steps(done: DataFrame, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -> DataFrame:

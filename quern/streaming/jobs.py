@@ -27,10 +27,10 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def file_stream(spark: SparkSession, directory: str, name: str, files_per_batch: int = 1) -> DataFrame:
-    """A table's Parquet files as a stream; a table that is a single file is found by its name in the directory."""
+    """A table's Parquet files as a stream, whether the table is one file or a folder of them; a stream takes a path that may be a file only
+    as a pattern."""
     schema = spark.read.parquet(f"{directory}/{name}.parquet").schema
-    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).option("recursiveFileLookup", "true")
-    return reader.option("pathGlobFilter", f"{name}.parquet").parquet(directory)
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(f"{directory}/{name}.parque[t]")
 
 
 def drain(stream: DataFrame, spark: SparkSession, mode: str = "append") -> DataFrame:
